@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skewloom.session import read_table
 
-from . import decontam, quality
+from . import decontam, quality, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -18,12 +19,17 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.cluster(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(read_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES |= {"op3_winnowing": op3_winnowing, "op8_quality_rules": op8_quality_rules}
+QUERIES |= {"op3_winnowing": op3_winnowing, "op4_golay_simhash": op4_golay_simhash, "op8_quality_rules": op8_quality_rules}
 
 ORACLES["op3_winnowing"] = r"""
 WITH d AS (
