@@ -9,12 +9,19 @@ from pyspark.sql import functions as F
 
 from skewloom.session import read_table
 
-from . import decontam, quality, simhash
+from . import decontam, quality, secrets, simhash, sstable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's file; it is read where it is."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -24,12 +31,20 @@ def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(read_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(read_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES |= {"op3_winnowing": op3_winnowing, "op4_golay_simhash": op4_golay_simhash, "op8_quality_rules": op8_quality_rules}
+def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read(sstable.write(read_table(spark, sf_dir, "documents"), vocabulary()))
+
+
+QUERIES |= {"op3_winnowing": op3_winnowing, "op4_golay_simhash": op4_golay_simhash, "op7_guess_cost_secrets": op7_guess_cost_secrets, "op8_quality_rules": op8_quality_rules, "op10_sorted_string_tables": op10_sorted_string_tables}
 
 ORACLES["op3_winnowing"] = r"""
 WITH d AS (
