@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skewloom.session import read_table
+from skewloom.session import Scratch, read_table
 
-from . import decontam, quality, secrets, simhash, sstable
+from . import decontam, mixing, quality, secrets, simhash, sstable, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, scratch = read_table(spark, sf_dir, "pages"), Scratch(spark, "warc")
+    found = warc.lookup(warc.index(scratch, warc.write(scratch, pages)), pages)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -31,6 +37,12 @@ def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.schedule(read_table(spark, sf_dir, "documents"))
+    each = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select("doc_id", "source", "chars", "before", "block", "slot", "release", "deadline")
+
+
 def op7_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(read_table(spark, sf_dir, "documents"))
 
@@ -44,7 +56,7 @@ def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(read_table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES |= {"op3_winnowing": op3_winnowing, "op4_golay_simhash": op4_golay_simhash, "op7_guess_cost_secrets": op7_guess_cost_secrets, "op8_quality_rules": op8_quality_rules, "op10_sorted_string_tables": op10_sorted_string_tables}
+QUERIES |= {"op2_capture_index": op2_capture_index, "op3_winnowing": op3_winnowing, "op4_golay_simhash": op4_golay_simhash, "op5_pfair_mixing": op5_pfair_mixing, "op7_guess_cost_secrets": op7_guess_cost_secrets, "op8_quality_rules": op8_quality_rules, "op10_sorted_string_tables": op10_sorted_string_tables}
 
 ORACLES["op3_winnowing"] = r"""
 WITH d AS (
@@ -100,3 +112,13 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(lc < {quality.MIN_LEFT}::DOUBLE * ac, false) AS kept
 FROM b LEFT JOIN s USING (rid)
 """
+
+ORACLES["op2_capture_index"] = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+s AS (SELECT *, octet_length(encode(html)) AS n, sha1(html) AS dig FROM p),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM s)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, dig AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, url
+FROM t
+"""
