@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skewloom.session import Scratch, read_table
 
-from . import decontam, mixing, quality, secrets, simhash, sstable, warc
+from . import decontam, licenses, mixing, quality, secrets, simhash, sstable, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,10 @@ def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "source", "chars", "before", "block", "slot", "release", "deadline")
 
 
+def op6_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(read_table(spark, sf_dir, "documents"))
+
+
 def op7_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(read_table(spark, sf_dir, "documents"))
 
@@ -52,11 +56,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_minhash_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(read_table(spark, sf_dir, "documents"))
+
+
 def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(read_table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES |= {"op2_capture_index": op2_capture_index, "op3_winnowing": op3_winnowing, "op4_golay_simhash": op4_golay_simhash, "op5_pfair_mixing": op5_pfair_mixing, "op7_guess_cost_secrets": op7_guess_cost_secrets, "op8_quality_rules": op8_quality_rules, "op10_sorted_string_tables": op10_sorted_string_tables}
+QUERIES |= {"op2_capture_index": op2_capture_index, "op3_winnowing": op3_winnowing, "op4_golay_simhash": op4_golay_simhash, "op5_pfair_mixing": op5_pfair_mixing, "op6_collinear_passages": op6_collinear_passages, "op7_guess_cost_secrets": op7_guess_cost_secrets, "op8_quality_rules": op8_quality_rules, "op9_minhash_licenses": op9_minhash_licenses, "op10_sorted_string_tables": op10_sorted_string_tables}
 
 ORACLES["op3_winnowing"] = r"""
 WITH d AS (
@@ -122,3 +130,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, dig AS payload_digest,
        CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to, url
 FROM t
 """
+ORACLES["op9_minhash_licenses"] = licenses.oracle()
