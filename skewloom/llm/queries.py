@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skewloom.session import Scratch, read_table
 
-from . import decontam, licenses, mixing, quality, secrets, simhash, sstable, substring, warc
+from . import decontam, html_extract, licenses, mixing, quality, secrets, simhash, sstable, substring, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,6 +22,10 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, scratch = read_table(spark, sf_dir, "pages"), Scratch(spark, "warc")
     found = warc.lookup(warc.index(scratch, warc.write(scratch, pages)), pages)
@@ -64,7 +68,18 @@ def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.read(sstable.write(read_table(spark, sf_dir, "documents"), vocabulary()))
 
 
-QUERIES |= {"op2_capture_index": op2_capture_index, "op3_winnowing": op3_winnowing, "op4_golay_simhash": op4_golay_simhash, "op5_pfair_mixing": op5_pfair_mixing, "op6_collinear_passages": op6_collinear_passages, "op7_guess_cost_secrets": op7_guess_cost_secrets, "op8_quality_rules": op8_quality_rules, "op9_minhash_licenses": op9_minhash_licenses, "op10_sorted_string_tables": op10_sorted_string_tables}
+QUERIES |= {
+    "op1_block_labeller": op1_block_labeller,
+    "op2_capture_index": op2_capture_index,
+    "op3_winnowing": op3_winnowing,
+    "op4_golay_simhash": op4_golay_simhash,
+    "op5_pfair_mixing": op5_pfair_mixing,
+    "op6_collinear_passages": op6_collinear_passages,
+    "op7_guess_cost_secrets": op7_guess_cost_secrets,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_minhash_licenses": op9_minhash_licenses,
+    "op10_sorted_string_tables": op10_sorted_string_tables,
+}
 
 ORACLES["op3_winnowing"] = r"""
 WITH d AS (

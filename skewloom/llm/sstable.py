@@ -245,32 +245,36 @@ def _encoded(enc: Encoder, text: str) -> bytes:
     return b"".join(out)
 
 
-def write(docs: DataFrame, vocab: str, end_id: int = 1, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, scratch: Scratch | None = None) -> DataFrame:
+def write(docs: DataFrame, vocab: str, end_id: int = 1, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, file_order: bool = False) -> DataFrame:
     """Writes the tables and returns their list: ``shard path n_docs n_tokens`` in key order.
 
     ``id_bytes`` 2 holds vocabularies of up to 65,536 ids. Rows go to files by ranges of identifier;
     the hash of the text is part of the range, so rows that share an identifier are split too.
+    With ``file_order`` rows go to files by their order in the Parquet files that ``docs`` was read from,
+    and only inside a file are they sorted by identifier.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "sstable")
-    picked = docs.select(F.col(id_col).cast("long").alias("sort_id"), F.col(text_col).alias("text"))
+    scratch = Scratch(docs.sparkSession, "sstable")
+    place = [F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row")] if file_order else []
+    picked = docs.select(F.col(id_col).cast("long").alias("sort_id"), F.col(text_col).alias("text"), *place)
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     order = [F.col("sort_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = picked.repartitionByRange(shards, *order).sortWithinPartitions(*order)
-    return scratch.table(ranged.mapInArrow(_write(scratch.path("shards"), vocab, end_id, id_bytes), META), "manifest")
+    ranged = picked.repartitionByRange(shards, *(["file", "row"] if file_order else order)).sortWithinPartitions(*order)
+    return scratch.table(ranged.select("sort_id", "text").mapInArrow(_write(scratch.path("shards"), vocab, end_id, id_bytes), META), "manifest")
 
 
-READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for path, start in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), strict=True):
+        for path, start, shard in zip(b.column("path").to_pylist(), b.column("start").to_pylist(), b.column("shard").to_pylist(), strict=True):
             rows = []
             for key, ids in TableReader(path).scan():
                 rows.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                 start += len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([shard] * len(rows), pa.int32())], names=["doc_id", "start", "n_tokens", "ids_crc32", "shard"])
 
 
 def placed(manifest: DataFrame) -> DataFrame:
@@ -284,5 +288,5 @@ def placed(manifest: DataFrame) -> DataFrame:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """Per document of the files: ``doc_id start n_tokens ids_crc32``."""
-    return placed(manifest).select("path", "start").mapInArrow(_read, READ)
+    """Per document of the files: ``doc_id start n_tokens ids_crc32 shard``."""
+    return placed(manifest).select("path", "start", "shard").mapInArrow(_read, READ)
