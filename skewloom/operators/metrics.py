@@ -17,7 +17,7 @@ def degree_stats(graph: Graph) -> DataFrame:
     return d.agg(
         F.count("*").alias("n_nodes"), F.sum("degree").alias("n_edges"), F.avg("degree").alias("avg_degree"),
         F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"),
-        F.min(F.struct("degree", "id"))["id"].alias("min_node"), F.max(F.struct("degree", -F.col("id")))["col2"].alias("neg_max_node"),
+        F.min(F.struct("degree", "id"))["id"].alias("min_node"), F.max(F.struct("degree", (-F.col("id")).alias("neg")))["neg"].alias("neg_max_node"),
     ).withColumn("max_node", -F.col("neg_max_node")).drop("neg_max_node")
 
 

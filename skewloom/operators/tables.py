@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +42,11 @@ def split_by_degree(graph: Graph, threshold: int) -> tuple[DataFrame, DataFrame]
 
 
 def work_arithmetic(data: Column, steps: int) -> Column:
-    """``steps`` rounds of ``v1 += v2; v2 += v1`` from ``(data, 1)``, then ``v1``: a Fibonacci pair in closed form."""
+    """``steps`` rounds of ``v1 += v2; v2 += v1`` from ``(data, 1)``, then ``v2``: a Fibonacci pair in closed form."""
     a, b = 0, 1  # F(0), F(1)
     for _ in range(2 * steps):
         a, b = b, a + b
-    first, second = (b - a, a)  # F(2 * steps - 1), F(2 * steps)
-    return data * float(first) + float(second)
+    return data * float(a) + float(b)
 
 
 def nested_work(rows: DataFrame, work: Column | None = None, form: str = "scalar", salts: int = 1) -> DataFrame:
@@ -68,8 +68,6 @@ def nested_work(rows: DataFrame, work: Column | None = None, form: str = "scalar
 
 def nested_work_udf(rows: DataFrame, work: Callable[[float, int], float]) -> DataFrame:
     """``idx rst`` for a work function of the user, called with data and turn; Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def run(turns: pd.Series, data: pd.Series) -> pd.Series:
         return pd.Series([float(sum(work(d, k) for k in range(max(0, n)))) for n, d in zip(turns, data, strict=True)])

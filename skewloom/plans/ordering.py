@@ -19,7 +19,7 @@ def numbered(scratch: Scratch, df: DataFrame, order: list[Column], name: str = "
     the order should be total.
     """
     n = max(1, -(-df.count() // RANGE_ROWS))
-    keyed = df.select("*", *[c.alias(f"__o{k}") for k, c in enumerate(order)], (value if value is not None else F.lit(1)).cast("long").alias("__v"))
+    keyed = df.select("*", (value if value is not None else F.lit(1)).cast("long").alias("__v"))
     ranged = scratch.table(keyed.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "ranged")
     sums = {r["__part"]: r["s"] for r in ranged.groupBy("__part").agg(F.sum("__v").alias("s")).collect()}
     starts, total = [], 0
