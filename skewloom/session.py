@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import tempfile
 import uuid
 import weakref
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +31,26 @@ def build_session(app: str = "skewloom", master: str | None = None, cpus: int |
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package's modules to the Python workers, once for each application.
+
+    Functions that run in workers refer to their modules by name, which need not be installed there.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    where = os.path.join(tempfile.mkdtemp(prefix=f"{package.name}-"), f"{package.name}.zip")
+    with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(where)
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
@@ -59,6 +82,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        ship_package(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
         self._paths: dict[int, str] = {}
@@ -95,4 +119,5 @@ _live: list[Scratch] = []
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
