@@ -8,9 +8,10 @@ Two fingerprints link if at most four bits differ. The 64 bits are three segment
 bits. Four errors over three segments leave either one segment without error and another with at
 most two, or the errors (1, 1, 1) or (1, 1, 2). For the first case the keys are a whole segment and
 the Golay codewords near another: words at distance two share a codeword within distance four. For
-the second case one side gives the nearest codeword of one segment with all near codewords of the
-other, and the other side the reverse; the parities of the segments, known to flip or stay, are part
-of the key. So every linked pair shares a key. Equal fingerprints are one class throughout.
+the second case the fingerprint with a zero where the other has a one gives, for each zero bit of one
+segment, that segment with the bit set and the nearest codeword of another segment; the other fingerprint
+gives its whole segment and all near codewords. The parities of the remaining segments, known to flip or
+to stay, are part of the key. So every linked pair shares a key. Equal fingerprints are one class throughout.
 
 Fingerprints that share a key are compared, and of each key's group only a spanning forest of its
 links leaves the task, never all pairs. The members of a large group are dealt to tasks as pairs of
@@ -94,11 +95,13 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if a != b:
                 put(table, seg[a][:, None] << 12 | code[b], is_set[b])
                 table += 1
-    for k, (i, j) in ((2, (0, 1)), (1, (0, 2)), (0, (1, 2))):
-        own = (par[i] << 2 | par[j] << 1 | par[k])[:, None]
-        put(table, (code[i] << 12 | code[j][:, :1]) << 3 | own, is_set[i])
-        for flip in (0b110, 0b111) if k == 2 else (0b110,):
-            put(table, (code[i][:, :1] << 12 | code[j]) << 3 | (own ^ flip), is_set[j])
+    for i, j, k in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):
+        own = (par[j] << 1 | par[k])[:, None]
+        put(table, (seg[i][:, None] << 12 | code[j]) << 2 | own, is_set[j])
+        bit = np.int64(1) << np.arange(SEGMENTS[i][1], dtype=np.int64)
+        zero = (seg[i][:, None] & bit) == 0
+        for flip in (0b10, 0b11) if k == 2 else (0b10,):
+            put(table, ((seg[i][:, None] | bit) << 12 | code[j][:, :1]) << 2 | (own ^ flip), zero)
         table += 1
     return np.concatenate(keys), np.concatenate(rows)
 
