@@ -38,10 +38,10 @@ def test_counts(docs_of, prose):
 
 def test_boilerplate_and_copies(docs_of, prose):
     body = [prose(60, k) for k in range(30)]
-    junk = "\n".join(prose(30, 900 + k) for k in range(4))
-    # Thirty pages of one host with a common line; one of them is hardly more than the common lines.
-    rows = [(k, f"{junk}\n{b}\n{prose(60, 300 + k)}\n{prose(60, 600 + k)}", "h") for k, b in enumerate(body)]
-    rows += [(100, f"{junk}\nshort tail", "h")]
+    junk = [prose(30, 900 + k) for k in range(2)]
+    # Thirty pages of one host with two common lines; one page is hardly more than these lines.
+    rows = [(k, f"{junk[0]}\n{b}\n{junk[1]}\n{prose(60, 300 + k)}", "h") for k, b in enumerate(body)]
+    rows += [(100, f"{junk[0]}\nshort\n{junk[1]}\ntail", "h")]
     # Copies and near copies of another document: its lines are common too, yet no boilerplate.
     rows += [(200 + k, "\n".join([prose(40, 50), prose(40, 51), prose(40, 52) + (f" x{k}" if k % 9 == 0 else "")]), "h") for k in range(40)]
     got = {r.doc_id: r.kept for r in quality.score(docs_of(rows), max_share=0.2).collect()}
