@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skewloom.session import Scratch
+
 from .common import SPACED, extract
 
 #: A line is above the limit if more distinct documents of the host than both of these have it.
@@ -123,5 +125,10 @@ def score(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHAR
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with all their columns."""
-    return score(docs).where("kept").select("row.*")
+    """The documents that pass, with all their columns.
+
+    The verdicts are written first: a filter would otherwise be pushed below them, into the lambdas that
+    count repeated windows, and sort a text's windows anew for each of them.
+    """
+    scored = Scratch(docs.sparkSession, "quality").table(score(docs).select("row", "kept"), "scored")
+    return scored.where("kept").select("row.*")
