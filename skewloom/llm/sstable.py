@@ -44,8 +44,10 @@ BLOCK_BYTES = 256 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Text bytes that go into one file.
 SHARD_BYTES = 24 << 20
-#: Words that a worker keeps encoded.
-CACHE_WORDS = 400_000
+#: Pieces and words that a worker keeps encoded, in each of two generations.
+CACHE_PIECES, CACHE_WORDS = 200_000, 400_000
+#: Punctuation that may end a piece; none of it joins with a letter before it.
+PUNCTUATION = ".,;:!?#*$%&|)"
 #: Characters encoded at a time.
 ENCODE_CHARS = 1 << 18
 
@@ -63,35 +65,86 @@ def id_of(key: bytes) -> int | None:
     return number - (1 << 63) if known else None
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-ins of byte-level models: printable Latin-1 stays, other bytes follow from 256."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in keep]
+    return {b: chr(b) for b in keep} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Memory:
+    """A bounded map in two generations: when the younger is full it becomes the older one."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) > 64:
+            return
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
     """Exact token ids of a text, as little-endian 32-bit bytes.
 
-    Words between blanks are encoded by the tokenizer and remembered: neither its normaliser nor its
-    splitter joins anything across a blank, so the ids of a text are those of its words in turn.
+    Neither the tokenizer's normaliser nor its splitter joins anything across a blank, so the ids of a text
+    are those of its blank-separated pieces in turn, and pieces are remembered. A piece of letters with
+    trailing punctuation splits between the two; letters go to the tokenizer's model as the one word that
+    they are, whatever else to the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {"": b""}
+        self.model, self.normal = self.tok.model, self.tok.normalizer
+        self.table = _byte_letters()
+        self.pieces, self.words = Memory(CACHE_PIECES), Memory(CACHE_WORDS)
+
+    def _whole(self, piece: str) -> bytes:
+        return np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """Ids of letters only."""
+        key = word.lower() if word.isascii() else self.normal.normalize_str(word)
+        found = self.words.get(key)
+        if found is None:
+            if key.isascii():
+                found = np.array([t.id for t in self.model.tokenize(key)], "<u4").tobytes()
+            elif key.isalpha():
+                found = np.array([t.id for t in self.model.tokenize(key.encode().decode("latin-1").translate(self.table))], "<u4").tobytes()
+            else:
+                found = self._whole(word)
+            self.words.put(key, found)
+        return found
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            core = piece.rstrip(PUNCTUATION)
+            if core.isalpha():
+                tail = piece[len(core) :]
+                found = self._word(core) + (self._piece(tail) if tail else b"")
+            else:
+                found = self._whole(piece)
+            self.pieces.put(piece, found)
+        return found
 
     def encode(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
-        known = self.words
-        missing = [w for w in set(pieces) if w not in known]
-        spare = {}
-        for k in range(0, len(missing), 4096):
-            some = missing[k : k + 4096]
-            for w, e in zip(some, self.tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                spare[w] = np.array(e.ids, "<u4").tobytes()
-        if not spare:
-            return b"".join([known[w] for w in pieces])
-        if len(known) + len(spare) > CACHE_WORDS:
-            known = self.words = {"": b""} | {w: known[w] for w in set(pieces) & known.keys()}
-        # Long words are seldom seen twice and would fill the memory.
-        known.update({w: v for w, v in spare.items() if len(w) <= 64})
-        return b"".join([spare[w] if w in spare else known[w] for w in pieces])
+        known = {w: self._piece(w) for w in set(pieces) if w}
+        known[""] = b""
+        return b"".join([known[w] for w in pieces])
 
 
 @lru_cache(2)
