@@ -34,12 +34,15 @@ from pyspark.sql import functions as F
 from skewloom.session import Scratch
 
 from . import golay
+from .common import small_side
 from .components import components
 
 MAX_BITS = 4
 #: Members of a key's group that are compared in one piece.
 CHUNK = 4096
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Fingerprints whose keys one task makes.
+PRINTS_PER_TASK = 20_000
 #: Hashes whose bits are counted at a time.
 BLOCK = 1 << 16
 
@@ -152,9 +155,11 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(scratch: Scratch, distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """``u v``: links among the distinct fingerprints ``print`` that join their components."""
-    keys = distinct.select("print").mapInArrow(_keys, "key long, print long")
+    spread = distinct.select("print").repartition(max(1, -(-distinct.count() // PRINTS_PER_TASK)))
+    keys = spread.mapInArrow(_keys, "key long, print long")
     shared = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = keys.join(shared, "key")
+    # Few keys are shared: within the bound they go to the members, so those are not shuffled again.
+    members = keys.join(small_side(shared, shared.count()), "key")
     parts = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("print"), F.col("parts")).cast("int")
     dealt = members.withColumn("parts", parts).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
