@@ -216,3 +216,11 @@ def test_passages(docs_of, prose):
     for g in got:
         assert g.n_same >= 0.8 * max(g.end - g.start, g.partner_end - g.partner_start) and g.end - g.start >= 50
         assert texts[g.doc_id][g.start] == texts[g.partner_id][g.partner_start] and texts[g.doc_id][g.end - 1] == texts[g.partner_id][g.partner_end - 1]
+
+
+def test_chain_gives_all_its_parts(docs_of, prose):
+    equal = [prose(n, 700 + k) for k, n in enumerate((300, 80, 300))]
+    side = lambda k: f"{equal[0]} {prose(450, k)} {equal[1]} {prose(450, k + 1)} {equal[2]}"
+    got = sorted((g.start, g.end, g.n_same) for g in substring.passages(docs_of([(1, side(10), "s"), (2, side(20), "s")])).collect())
+    want = [(0, 300), (750, 830), (1280, 1580)]
+    assert len(got) == 3 and all(abs(g[0] - s) < 30 and abs(g[1] - e) < 30 and g[2] >= e - s for g, (s, e) in zip(got, want, strict=True))
