@@ -224,3 +224,13 @@ def test_chain_gives_all_its_parts(docs_of, prose):
     got = sorted((g.start, g.end, g.n_same) for g in substring.passages(docs_of([(1, side(10), "s"), (2, side(20), "s")])).collect())
     want = [(0, 300), (750, 830), (1280, 1580)]
     assert len(got) == 3 and all(abs(g[0] - s) < 30 and abs(g[1] - e) < 30 and g[2] >= e - s for g, (s, e) in zip(got, want, strict=True))
+
+
+def test_sharers_of_frequent_lines_are_connected(docs_of, prose):
+    lines = [prose(12, 40 + k) for k in range(5)]
+    rows = [(k, f"{prose(90, 100 + k)} {lines[k % 4]} {lines[k % 4 + 1]} {prose(90, 200 + k)}", "s") for k in range(8)]
+    rows += [(90 + k, f"{prose(90, 300 + k)} {lines[k % 4]} {lines[k % 4 + 1]} {prose(90, 400 + k)}", "s") for k in range(8)]
+    rows += [(50 + k, f"{prose(90, 500 + k)} {' '.join(lines)} {prose(90, 600 + k)}", "s") for k in range(3)]
+    got = substring.passages(docs_of(rows)).collect()
+    assert {(g.doc_id, g.partner_id) for g in got} >= {(51, 50), (52, 50)}
+    assert all(g.n_same >= 60 for g in got if g.doc_id in (51, 52))
