@@ -3,21 +3,23 @@
 Every source is cut into blocks of ``block_chars`` characters in order of document id. With the weight
 ``w`` of its source, block ``k`` is released at slot ``floor(k / w)`` and due before ``ceil((k + 1) / w)``.
 One block takes one slot; the released block with the earliest deadline goes first. No source is ever a
-whole block ahead of or behind its share. Weights are whole shares of a period, so one period of the
-schedule places all blocks; when a source runs out the rest go on with their weights scaled up, until
-every document is placed: nothing is dropped or repeated.
+whole block ahead of or behind its share, however long the input: weights are exact rational numbers, never
+rounded. When a source runs out the rest go on with their weights scaled up, until every document is
+placed: nothing is dropped or repeated. Sources of weight zero come after all others.
 
 A document belongs to the block in which it starts; one that is longer than a block uses up the slots it
 covers. Default weights are the sources' characters to the power ``alpha``; given weights of sources that
 do not occur are ignored, and a source without a given weight gets the least given one. A null source is
-a source, a null text is empty. Rows with equal id, source and text stand next to each other. The
-schedule of a period and the list of sources are all that the driver holds.
+a source, a null text is empty. Rows with equal id, source and text stand next to each other. The driver
+holds the slot of each block, one for every ``block_chars`` characters, and the list of sources.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,15 +30,13 @@ from .common import small_side
 
 BLOCK_CHARS = 1 << 16
 ALPHA = 0.5
-#: Slots of a period, per source at least ten.
-PERIOD = 1000
 #: Documents whose running sum one task takes.
 RANGE_ROWS = 100_000
 
 
 @dataclass
 class Phase:
-    """Until a source runs out: first block and first slot of each, its share, and the slots in a period."""
+    """Until a source runs out: first block and first slot of each, its exact share of a period, and its slots."""
 
     base: int
     period: int
@@ -45,52 +45,49 @@ class Phase:
     slots: dict[int, list[int]]
 
 
-def shares(weights: dict[int, float], period: int) -> dict[int, int]:
-    """Whole shares of the period by largest remainder, one at least."""
-    total = sum(weights.values())
-    exact = {s: w / total * (period - len(weights)) for s, w in weights.items()}
-    out = {s: 1 + int(e) for s, e in exact.items()}
-    left = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:left]:
-        out[s] += 1
-    return out
+def shares(weights: dict[int, float]) -> dict[int, int]:
+    """The least whole numbers in the exact ratio of the weights; without a positive one all are equal."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0} or {s: Fraction(1) for s in weights}
+    unit = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * unit) for s, w in exact.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
 
 
-def one_period(share: dict[int, int], period: int) -> dict[int, list[int]]:
-    """Earliest deadline first over one period: the slots of each source's blocks."""
-    released: list[list[tuple[int, int]]] = [[] for _ in range(period)]
-    for s, a in share.items():
-        for k in range(a):
-            released[k * period // a].append((-(-(k + 1) * period // a), s))
+def one_phase(share: dict[int, int], left: dict[int, int]) -> dict[int, list[int]]:
+    """Earliest deadline first until a source has placed its blocks: the slots of each source's blocks."""
+    period = sum(share.values())
+    released = [(0, s) for s in share]
     ready: list[tuple[int, int]] = []
     slots: dict[int, list[int]] = {s: [] for s in share}
-    for t in range(period):
-        for job in released[t]:
-            heapq.heappush(ready, job)
+    t = 0
+    while True:
+        while released and released[0][0] <= t:
+            s = heapq.heappop(released)[1]
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // share[s]), s))
         due, s = heapq.heappop(ready)
         assert due > t, "a deadline was missed"
         slots[s].append(t)
-    return slots
+        t += 1
+        if len(slots[s]) == left[s]:
+            return slots
+        heapq.heappush(released, (len(slots[s]) * period // share[s], s))
 
 
-def phases(blocks: dict[int, int], weights: dict[int, float], period: int = PERIOD) -> list[Phase]:
+def phases(blocks: dict[int, int], weights: dict[int, float]) -> list[Phase]:
     """The whole schedule of ``blocks[s]`` blocks per source."""
     left, base, out = {s: n for s, n in blocks.items() if n}, 0, []
     done = {s: 0 for s in left}
     while left:
-        size = max(period, 10 * len(left))
-        share = shares({s: weights[s] for s in left}, size)
-        slots = one_period(share, size)
-        ends = {s: (n - 1) // share[s] * size + slots[s][(n - 1) % share[s]] + 1 for s, n in left.items()}
-        stop = min(ends.values())
-        out.append(Phase(base, size, dict(done), share, slots))
-        for s in list(left):
-            used = stop // size * share[s] + sum(t < stop % size for t in slots[s])
-            done[s] += used
-            left[s] -= used
+        share = shares({s: weights[s] for s in left})
+        slots = one_phase(share, left)
+        out.append(Phase(base, sum(share.values()), {s: done[s] for s in share}, share, slots))
+        for s, at in slots.items():
+            done[s] += len(at)
+            left[s] -= len(at)
+            base += len(at)
             if not left[s]:
                 del left[s], done[s]
-        base += stop
     return out
 
 
@@ -140,29 +137,15 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
     else:
         target = {number[r["source"]]: float(max(1, r["chars"])) ** alpha for r in found}
     plan = phases(blocks, target)
-    spans, slots = [], []
-    for p, ph in enumerate(plan):
-        for s, first in ph.first.items():
-            after = next((q.first[s] for q in plan[p + 1 :] if s in q.first), blocks[s])
-            if after > first:
-                spans.append((names[s], p, first, after, ph.base, ph.period, ph.share[s]))
-                slots += [(names[s], p, k, t) for k, t in enumerate(ph.slots[s])]
-    span_df = spark.createDataFrame(spans, "s_source string, phase int, first long, after long, base long, period long, share long")
-    slot_df = spark.createDataFrame(slots, "t_source string, t_phase int, t_k long, at long")
-    here = placed.join(
-        small_side(span_df, len(spans)),
-        placed["source"].eqNullSafe(span_df["s_source"]) & (F.col("block") >= F.col("first")) & (F.col("block") < F.col("after")),
-    ).withColumn("k", F.col("block") - F.col("first"))
-    full = here.join(
-        small_side(slot_df, len(slots)),
-        here["source"].eqNullSafe(slot_df["t_source"]) & (here["phase"] == slot_df["t_phase"]) & (F.col("k") % F.col("share") == slot_df["t_k"]),
-    )
-    return full.select(
-        "doc_id", "source", "text_hash", "before", "chars", "copies", "block",
-        (F.col("base") + F.floor(F.col("k") / F.col("share")).cast("long") * F.col("period") + F.col("at")).alias("slot"),
-        (F.col("base") + F.floor(F.col("k") * F.col("period") / F.col("share"))).cast("long").alias("release"),
-        (F.col("base") + F.ceil((F.col("k") + 1) * F.col("period") / F.col("share"))).cast("long").alias("deadline"),
-    )
+    slots = [
+        (names[s], ph.first[s] + k, ph.base + t, ph.base + k * ph.period // ph.share[s], ph.base - (-(k + 1) * ph.period // ph.share[s]))
+        for ph in plan
+        for s, at in ph.slots.items()
+        for k, t in enumerate(at)
+    ]
+    slot_df = spark.createDataFrame(slots, "t_source string, t_block long, slot long, release long, deadline long")
+    full = placed.join(small_side(slot_df, len(slots)), placed["source"].eqNullSafe(slot_df["t_source"]) & (placed["block"] == slot_df["t_block"]))
+    return full.select("doc_id", "source", "text_hash", "before", "chars", "copies", "block", "slot", "release", "deadline")
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, block_chars: int = BLOCK_CHARS, alpha: float = ALPHA) -> DataFrame:

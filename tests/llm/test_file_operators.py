@@ -132,6 +132,18 @@ def test_schedule_stays_within_a_block(counts):
     assert sorted(slots.values()) == list(range(sum(counts.values())))
 
 
+@pytest.mark.parametrize("weights", [{0: 1, 1: 2}, {0: 0.0001, 1: 0.3, 2: 0.6999}, {0: 2**0.5, 1: 3**0.5, 2: 1.0}])
+def test_schedule_keeps_the_given_weights(weights):
+    counts = {s: 1 + int(40_000 * w / sum(weights.values())) for s, w in weights.items()}
+    ph, *later = mixing.phases(counts, weights)
+    for s, w in weights.items():
+        n = later[0].first.get(s, counts[s]) if later else counts[s]
+        at, got = {k // ph.share[s] * ph.period + ph.slots[s][k % ph.share[s]] for k in range(n)}, 0
+        for t in range(1, 30_001):
+            got += t - 1 in at
+            assert abs(got - t * w / sum(weights.values())) < 1 + 1e-6
+
+
 def test_mixed_rows(spark, docs_of, prose, monkeypatch):
     monkeypatch.setattr(mixing, "RANGE_ROWS", 20)
     docs = docs_of([(k, prose(5 + k % 40, k), "abc"[min(2, k % 5)]) for k in range(150)])
