@@ -5,7 +5,7 @@ value of eight characters or more), ``access`` (access key ids) and ``hex`` (low
 or more). The method adds spans of kind ``guess``: a value that stands in a wider credential context
 is segmented into dictionary words, dates, repeats, keyboard walks, sequences and brute-force spans by
 dynamic programming, and the cheapest total is its number of guesses. A value that takes more guesses
-than ``MIN_LOG10`` and mixes character classes is a secret, unless a base span overlaps it.
+than ``MIN_LOG10`` is a secret, unless a base span holds the whole of it or it looks like plain words.
 
 Offsets are code points, end exclusive. A null or empty text has no spans. Matches of a kind never
 overlap, and texts are scanned whole.
@@ -27,9 +27,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A greedy run of 32 or more is a maximal run, as ``[0-9a-f]+`` gives it.
 HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(
-    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|bearer|auth(?:orization)?)["']?(?:\x20{0,4}[:=]\x20{0,4}|\x20is\x20{1,4}|\x20)["']?([^\s"'<>]{8,200})""",
+    r"""(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|client[_-]?secret|bearer|auth(?:orization)?)["']?(?:\x20{0,4}[:=]\x20{0,4}|\x20is\x20{1,4}|\x20)["']?([^\s"'<>]{8,})""",
     re.I | re.A,
 )
+LETTERS = re.compile(r"[^\W\d_]+")
 HINTS = ("pass", "pwd", "secret", "token", "credential", "api", "key", "bearer", "auth")
 KINDS = ("assign", "access", "hex", "guess")
 #: log10 of the guesses above which a value counts as a secret.
@@ -67,8 +68,11 @@ def _space(c: str) -> float:
     return math.log10(33) if c < "\x80" else 3.0
 
 
-def guess_log10(value: str) -> float:
-    """log10 of the guesses of the cheapest segmentation; each extra segment costs a factor two."""
+def guess_log10(value: str, limit: float = math.inf) -> float:
+    """log10 of the guesses of the cheapest segmentation; each extra segment costs a factor two.
+
+    Ends early, with ``limit`` or more, where the whole is sure to cost at least ``limit``.
+    """
     n = len(value)
     plain = "".join(SUBSTITUTES.get(c, c) for c in value.lower())
     low = value.lower()
@@ -99,18 +103,25 @@ def guess_log10(value: str) -> float:
         for i in dates.get(end, ()):
             cost = min(cost, best[i] + join + math.log10(365 * 120))
         for start, least, per in ((same[last], 3, 0.3), (step[last], 3, 0.5), (walk[last], 4, 0.6)):
-            for i in range(start, end - least + 1):
+            # No other segment reaches further than 64 characters into a run.
+            for i in range(start, min(end - least, start + 64) + 1):
                 cost = min(cost, best[i] + join + _space(value[i]) + 0.7 + per * math.log10(end - i))
         for half in range(2, min(end // 2, 32) + 1):  # a block said twice
             if value[end - half : end] == value[end - 2 * half : end - half]:
                 cost = min(cost, best[end - half] + join + math.log10(half + 1))
         best[end] = cost
+        # Unless a run goes on, a segment that crosses this place starts at most 32 characters before it.
+        if cost >= limit and (end == n or walk[end] == same[end] == end and step[end] in (end, last) and (end + 1 >= n or step[end + 1] >= last)):
+            least_cost = min(best[max(0, end - 33) : end + 1])
+            if least_cost >= limit:
+                return least_cost
     return best[n]
 
 
 def _mixed(value: str) -> bool:
+    """Not plain words: digits, three classes, or letters whose case changes inside."""
     classes = (any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value))
-    return classes[2] and sum(classes) >= 2 or classes[3] and sum(classes) >= 3
+    return classes[2] or classes[3] and sum(classes) >= 3 or any(not (p.islower() or p.isupper() or p.istitle()) for p in LETTERS.findall(value))
 
 
 def scan(text: str | None) -> list[tuple[str, int, int]]:
@@ -125,9 +136,9 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
         for m in CONTEXT.finditer(text):
             value = m[1].rstrip(".,;:!?)]}#*$%&|")
             start, end = m.start(1), m.start(1) + len(value)
-            if any(s < end and start < e for s, e in taken):
+            if any(s <= start and end <= e for s, e in taken):
                 continue
-            if len(value) >= 8 and _mixed(value) and guess_log10(value) >= MIN_LOG10:
+            if len(value) >= 8 and _mixed(value) and guess_log10(value, MIN_LOG10) >= MIN_LOG10:
                 found.append(("guess", start, end))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

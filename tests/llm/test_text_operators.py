@@ -176,6 +176,24 @@ def test_guess_cost():
     assert secrets.scan("the password is required reading for everyone, pwd: password123") == []
 
 
+def test_whole_values():
+    r = random.Random(1)
+    jwt = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789-_.") for _ in range(600)) + "x"
+    for text, value in (
+        (f"Authorization: Bearer {jwt} end", jwt),
+        ("the password is kRtWqPzLmXvBnHsD here", "kRtWqPzLmXvBnHsD"),
+        ("passcode 839204716352 now", "839204716352"),
+        ("password=Summer24!x$Kq9#zP", "Summer24!x$Kq9#zP"),
+    ):
+        assert [text[s:e] for k, s, e in secrets.scan(text) if k == "guess"] == [value]
+    assert secrets.scan("auth https://example.com/some/page and bearer Authentication") == []
+    for k in range(300):
+        value = "".join(r.choice(("a", "aaaa", "1234", "qwert", "password", "Zx9", "20240115", "%")) for _ in range(r.randint(1, 30)))
+        whole = secrets.guess_log10(value)
+        for limit in (3.0, 10.0, 25.0):
+            assert (secrets.guess_log10(value, limit) >= limit) == (whole >= limit)
+
+
 def test_long_hostile_texts():
     for t in ("a" * 200_000, "password" * 20_000, "token=" * 30_000, "AKIA" * 40_000, "pass " * 40_000):
         secrets.scan(t)
