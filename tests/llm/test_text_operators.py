@@ -252,3 +252,14 @@ def test_sharers_of_frequent_lines_are_connected(docs_of, prose):
     got = substring.passages(docs_of(rows)).collect()
     assert {(g.doc_id, g.partner_id) for g in got} >= {(51, 50), (52, 50)}
     assert all(g.n_same >= 60 for g in got if g.doc_id in (51, 52))
+
+
+def test_every_place_in_a_document_is_reported(docs_of, prose):
+    # The copies differ in every twenty-fifth word, so no window of 50 words is equal.
+    words, copies = prose(120, 31).split(), []
+    for c in range(5):
+        copies.append(" ".join(f"changed{c}" if k % 25 == 12 else w for k, w in enumerate(words)))
+    inside = " ".join(f"{prose(100, 60 + c)} {copies[c]}" for c in range(4))
+    got = substring.passages(docs_of([(1, f"{copies[4]} {prose(100, 70)}", "s"), (2, inside, "s")])).collect()
+    places = [(100 + 220 * c, 220 + 220 * c) for c in range(4)]
+    assert all(any(g.doc_id == 2 and abs(g.start - s) < 30 and abs(g.end - e) < 30 for g in got) for s, e in places)
