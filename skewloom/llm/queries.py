@@ -56,8 +56,7 @@ def op7_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality.score(read_table(spark, sf_dir, "documents"))
-    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.score(read_table(spark, sf_dir, "documents"), carry=False).drop("host")
 
 
 def op9_minhash_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +80,45 @@ QUERIES |= {
     "op10_sorted_string_tables": op10_sorted_string_tables,
 }
 
+
+def quality_sql(min_docs: int = quality.MIN_DOCS, max_share: float = quality.MAX_SHARE, min_left: float = quality.MIN_LEFT, grow: int = quality.GROW) -> str:
+    """The quality rules in SQL; the lines that each round of growth adds are a table."""
+    near = lambda k: f"(c.before IN (SELECT norm FROM m{k} WHERE source IS NOT DISTINCT FROM c.source) OR c.after IN (SELECT norm FROM m{k} WHERE source IS NOT DISTINCT FROM c.source))"
+    rounds = "".join(
+        f"""m{k + 1} AS (SELECT * FROM m{k} UNION SELECT source, norm FROM f c GROUP BY source, norm HAVING 2 * sum(CASE WHEN {near(k)} THEN 1 ELSE 0 END) >= count(*)),
+"""
+        for k in range(grow)
+    )
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g0 AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g0),
+p AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1),
+r AS (SELECT rid, count(DISTINCT p) AS n FROM p GROUP BY rid),
+l0 AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
+l AS (SELECT *, trim(lower(regexp_replace(line, '[\x20\x09-\x0D0-9]+', ' ', 'g')), ' ') AS norm FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
+c AS (SELECT *, lead(norm) OVER (PARTITION BY rid ORDER BY i) AS after, lag(norm) OVER (PARTITION BY rid ORDER BY i) AS before FROM l),
+n AS (SELECT source, norm, count(DISTINCT t) AS n_docs FROM c GROUP BY source, norm),
+hd AS (SELECT source, count(DISTINCT t) AS host_docs FROM c GROUP BY source),
+fr AS (SELECT n.source, n.norm, n_docs FROM n JOIN hd ON n.source IS NOT DISTINCT FROM hd.source WHERE n_docs > {min_docs} AND n_docs > {max_share}::DOUBLE * host_docs),
+f AS (SELECT c.*, n_docs FROM c JOIN fr ON c.source IS NOT DISTINCT FROM fr.source AND c.norm = fr.norm),
+m0 AS (SELECT source, norm FROM f GROUP BY source, norm HAVING 2 * greatest(count(DISTINCT before), count(DISTINCT after)) >= max(n_docs)),
+{rounds}s AS (SELECT l.rid, sum(length(line)) AS ac, sum(CASE WHEN m.norm IS NULL THEN length(line) ELSE 0 END) AS lc, count(m.norm) AS n_removed
+      FROM l LEFT JOIN m{grow} m ON l.source IS NOT DISTINCT FROM m.source AND l.norm = m.norm GROUP BY l.rid),
+b AS (
+  SELECT d.rid, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d JOIN w USING (rid) LEFT JOIN dl USING (rid) LEFT JOIN r USING (rid))
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(lc < {min_left}::DOUBLE * ac, false) AS kept
+FROM b LEFT JOIN s USING (rid)
+"""
+
+
 ORACLES["op3_winnowing"] = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id,
@@ -108,34 +146,6 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM d LEFT JOIN nh USING (rid) LEFT JOIN it USING (rid)
 """
 
-ORACLES["op8_quality_rules"] = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
-w AS (SELECT rid, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
-g0 AS (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w WHERE len(ws) >= 3),
-g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM g0),
-p AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g WHERE c > 1),
-r AS (SELECT rid, count(DISTINCT p) AS n FROM p GROUP BY rid),
-l0 AS (SELECT rid, source, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d),
-l AS (SELECT *, trim(lower(regexp_replace(line, '[\x20\x09-\x0D0-9]+', ' ', 'g')), ' ') AS norm FROM l0 WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-dl AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
-c AS (SELECT *, coalesce(lead(norm) OVER (PARTITION BY rid ORDER BY i), lag(norm) OVER (PARTITION BY rid ORDER BY i)) AS beside FROM l),
-n AS (SELECT source, norm, count(DISTINCT t) AS n_docs, count(DISTINCT coalesce('x' || beside, '')) AS n_beside FROM c GROUP BY source, norm),
-hd AS (SELECT source, count(DISTINCT t) AS host_docs FROM c GROUP BY source),
-cm AS (SELECT n.source, n.norm FROM n JOIN hd ON n.source IS NOT DISTINCT FROM hd.source
-       WHERE n_docs > {quality.MIN_DOCS} AND 2 * n_beside >= n_docs AND n_docs > {quality.MAX_SHARE}::DOUBLE * host_docs),
-s AS (SELECT l.rid, sum(length(line)) AS ac, sum(CASE WHEN cm.norm IS NULL THEN length(line) ELSE 0 END) AS lc
-      FROM l LEFT JOIN cm ON l.source IS NOT DISTINCT FROM cm.source AND l.norm = cm.norm GROUP BY l.rid),
-b AS (
-  SELECT d.rid, d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
-         CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-         CAST(coalesce(dl.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words
-  FROM d JOIN w USING (rid) LEFT JOIN dl USING (rid) LEFT JOIN r USING (rid))
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT coalesce(lc < {quality.MIN_LEFT}::DOUBLE * ac, false) AS kept
-FROM b LEFT JOIN s USING (rid)
-"""
-
 ORACLES["op2_capture_index"] = """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 s AS (SELECT *, octet_length(encode(html)) AS n, sha1(html) AS dig FROM p),
@@ -146,3 +156,4 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, dig AS payload_digest,
 FROM t
 """
 ORACLES["op9_minhash_licenses"] = licenses.oracle()
+ORACLES["op8_quality_rules"] = quality_sql()

@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from skewloom.llm import decontam, golay, licenses, quality, queries, secrets, simhash, substring
 
@@ -48,6 +50,39 @@ def test_boilerplate_and_copies(docs_of, prose):
     assert not got[100] and all(got[k] for k in range(30)) and all(got[200 + k] for k in range(40))
 
 
+def test_blocks_of_lines_are_removed(spark, docs_of, prose, duck):
+    """A menu of three lines, a footer of two, documents that are little else, and SQL over the same rows."""
+    menu, foot = [prose(6, 900 + k) for k in range(3)], [prose(20, 910 + k) for k in range(2)]
+    page = lambda body: "\n".join([*menu, body, *foot])
+    rows = [(k, page(prose(70, k) + "\n\n" + prose(20, 400 + k)), "ab"[k % 2]) for k in range(120)]
+    rows += [(500 + k, page(prose(4, 700 + k)) + "\n" + prose(6, 800 + k), "a") for k in range(5)] + [(600, page("x"), None), (601, None, "a")]
+    docs = docs_of(rows)
+    limits = {"min_docs": 10, "max_share": 0.05, "min_left": 0.4}
+    scored = quality.score(docs, **limits)
+    got = {r.doc_id: r for r in scored.collect()}
+    assert all(got[k].n_removed == 5 and got[k].kept for k in range(120)) and not any(got[500 + k].kept for k in range(5)) and got[600].n_removed == 0
+    text = {r.doc_id: r.t for r in scored.select("doc_id", quality.cleaned(F.col("row.text"), F.col("removed")).alias("t")).collect()}
+    assert text[7] == prose(70, 7) + "\n\n" + prose(20, 407) and text[601] is None and text[600] == page("x")
+    duck.register("odd_documents", docs.toPandas())
+    want = duck.execute(queries.quality_sql(**limits).replace("FROM documents", "FROM odd_documents")).fetchall()
+    names = [d[0] for d in duck.description]
+    assert sorted(want, key=str) == sorted((tuple(r[c] for c in names) for r in got.values()), key=str)
+
+
+def test_a_filter_costs_little(docs_of, prose):
+    rows = [(k, prose(20_000, k), "s") for k in range(3)]
+    began = time.time()
+    assert quality.score(docs_of(rows)).where("kept AND n_repeat_words >= 0").count() == 3
+    assert time.time() - began < 60
+
+
+def test_kept_rows_lose_their_boilerplate(docs_of, prose):
+    common = prose(12, 77)
+    rows = [(k, f"{prose(60, k)}\n{common} {k}\n{prose(30, 100 + k)}", "h") for k in range(40)]
+    got = {r.doc_id: r for r in quality.keep(docs_of(rows, True)).collect()}
+    assert len(got) == 40 and all(r.text == f"{prose(60, k)}\n{prose(30, 100 + k)}" and r.n_chars == len(r.text) for k, r in got.items())
+
+
 # decontamination
 
 
