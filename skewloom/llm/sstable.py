@@ -19,11 +19,12 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,12 +45,13 @@ BLOCK_BYTES = 256 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Text bytes that go into one file.
 SHARD_BYTES = 24 << 20
-#: Pieces and words that a worker keeps encoded, in each of two generations.
-CACHE_PIECES, CACHE_WORDS = 200_000, 400_000
-#: Punctuation that may end a piece; none of it joins with a letter before it.
+#: Words and other pieces that a worker keeps encoded, in each of two generations.
+CACHE_WORDS, CACHE_PIECES = 400_000, 100_000
+#: Letters whose lower case is one letter of the same kind, and punctuation that may follow them in a piece.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PUNCTUATION = ".,;:!?#*$%&|)"
-#: Characters encoded at a time.
-ENCODE_CHARS = 1 << 18
+#: Text that is encoded at a time.
+ENCODE_BYTES = 4 << 20
 
 META = T.StructType(
     [T.StructField(n, t) for n, t in (("shard", T.IntegerType()), ("path", T.StringType()), ("n_docs", T.LongType()), ("n_tokens", T.LongType()))]
@@ -75,76 +77,82 @@ def _byte_letters() -> dict[int, str]:
 class Memory:
     """A bounded map in two generations: when the younger is full it becomes the older one."""
 
-    def __init__(self, limit: int):
-        self.limit, self.young, self.old = limit, {}, {}
-
-    def get(self, key: str) -> bytes | None:
-        found = self.young.get(key)
-        if found is None:
-            found = self.old.get(key)
-            if found is not None:
-                self.put(key, found)
+    def __init__(self, limit: int, make: Callable[[str], bytes]):
+        self.limit, self.make, self.young, self.old = limit, make, {}, {}
+
+    def all(self, keys: list[str]) -> list[bytes]:
+        """The values of distinct keys; those that are not known are made."""
+        found = list(map(self.young.get, keys))
+        for k, value in enumerate(found):
+            if value is None:
+                key = keys[k]
+                value = self.old.get(key)
+                found[k] = value = self.make(key) if value is None else value
+                if len(key) <= 64:
+                    if len(self.young) >= self.limit:
+                        self.old, self.young = self.young, {}
+                    self.young[key] = value
         return found
 
-    def put(self, key: str, value: bytes) -> None:
-        if len(key) > 64:
-            return
-        if len(self.young) >= self.limit:
-            self.old, self.young = self.young, {}
-        self.young[key] = value
-
 
 class Encoder:
-    """Exact token ids of a text, as little-endian 32-bit bytes.
+    """Exact token ids of texts.
 
     Neither the tokenizer's normaliser nor its splitter joins anything across a blank, so the ids of a text
-    are those of its blank-separated pieces in turn, and pieces are remembered. A piece of letters with
-    trailing punctuation splits between the two; letters go to the tokenizer's model as the one word that
-    they are, whatever else to the whole tokenizer.
+    are those of its blank-separated pieces in turn. The pieces of many texts are numbered at once. A piece of ``LETTERS``
+    and trailing punctuation splits between the two, as none of these letters has a normal form that would join
+    the punctuation; the letters, lower-cased, go to the tokenizer's model as the one word that they are. Whatever
+    else goes to the whole tokenizer. Distinct words are encoded once and remembered; ids are gathered by number.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.model, self.normal = self.tok.model, self.tok.normalizer
-        self.table = _byte_letters()
-        self.pieces, self.words = Memory(CACHE_PIECES), Memory(CACHE_WORDS)
+        self.model, self.table = self.tok.model, _byte_letters()
+        self.words, self.others = Memory(CACHE_WORDS, self._word), Memory(CACHE_PIECES, self._whole)
 
     def _whole(self, piece: str) -> bytes:
         return np.array(self.tok.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """Ids of letters only."""
-        key = word.lower() if word.isascii() else self.normal.normalize_str(word)
-        found = self.words.get(key)
-        if found is None:
-            if key.isascii():
-                found = np.array([t.id for t in self.model.tokenize(key)], "<u4").tobytes()
-            elif key.isalpha():
-                found = np.array([t.id for t in self.model.tokenize(key.encode().decode("latin-1").translate(self.table))], "<u4").tobytes()
-            else:
-                found = self._whole(word)
-            self.words.put(key, found)
-        return found
-
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            core = piece.rstrip(PUNCTUATION)
-            if core.isalpha():
-                tail = piece[len(core) :]
-                found = self._word(core) + (self._piece(tail) if tail else b"")
-            else:
-                found = self._whole(piece)
-            self.pieces.put(piece, found)
-        return found
+    def _word(self, key: str) -> bytes:
+        """Ids of lower-case ``LETTERS``."""
+        said = key if key.isascii() else key.encode().decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.model.tokenize(said)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        pieces = text.replace("\n", " ").split(" ")
-        known = {w: self._piece(w) for w in set(pieces) if w}
-        known[""] = b""
-        return b"".join([known[w] for w in pieces])
+        """One text's ids as little-endian 32-bit bytes."""
+        return self.encode_all(pa.array([text]))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of every text; the working memory is some times the texts' size."""
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        piece, code = coded.dictionary, coded.indices.to_numpy()
+        core = pc.utf8_rtrim(piece, PUNCTUATION)
+        plain = pc.match_substring_regex(core, f"^[{LETTERS}]+$")
+        word = pc.utf8_lower(core.filter(plain)).dictionary_encode()
+        tail = pc.replace_substring_regex(piece.filter(plain), f"^[{LETTERS}]+", "").dictionary_encode()
+        other = piece.filter(pc.invert(plain)).to_pylist()
+        atoms = [*self.words.all(word.dictionary.to_pylist()), *self.others.all(tail.dictionary.to_pylist()), *self.others.all(other), b""]
+        size = np.fromiter(map(len, atoms), np.int64, len(atoms)) // 4
+        # Every piece is two atoms: letters and punctuation, or itself and nothing.
+        n_words, n_tails, is_plain = len(word.dictionary), len(tail.dictionary), plain.to_numpy(zero_copy_only=False)
+        both = np.full((len(piece), 2), len(atoms) - 1)
+        both[is_plain, 0], both[is_plain, 1] = word.indices.to_numpy(), tail.indices.to_numpy() + n_words
+        both[~is_plain, 0] = np.arange(len(other)) + n_words + n_tails
+        flat, _ = _gather(np.frombuffer(b"".join(atoms), "<u4"), size, both.ravel())
+        made, ends = _gather(flat, size[both].sum(1), code)
+        cuts = np.append(0, ends)[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [made[i:j] for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def _gather(flat: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of ``flat``, whose runs have these sizes, one after the other; and where each ends."""
+    many = size[which]
+    ends = np.cumsum(many)
+    return flat[np.repeat((np.cumsum(size) - size)[which] - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 @lru_cache(2)
@@ -166,10 +174,8 @@ class TableWriter:
         self.hashes: list[int] = []
         self.docs = self.tokens = 0
 
-    def add(self, key: bytes, ids: bytes) -> None:
-        """``ids``: 32-bit little-endian."""
-        n = len(ids) // 4
-        value = np.frombuffer(ids, "<u4").astype(f"<u{self.width}").tobytes() if self.width != 4 else ids
+    def add(self, key: bytes, ids: np.ndarray) -> None:
+        n, value = len(ids), ids.astype(f"<u{self.width}").tobytes()
         if not self.block:
             self.first, self.last = key, b""
         shared = next((k for k, (a, b) in enumerate(zip(key, self.last, strict=False)) if a != b), min(len(key), len(self.last)))
@@ -271,13 +277,13 @@ def _write(folder: str, vocab: str, end_id: int, id_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(vocab), TaskContext.get().partitionId()
         path = f"{folder}/shard-{shard:06d}.sst"
-        table, end = TableWriter(path, id_bytes), np.array([end_id], "<u4").tobytes()
+        table, end = TableWriter(path, id_bytes), np.array([end_id], "<u4")
         seq, before = 0, (None,)
         for b in batches:
-            for doc_id, text in zip(b.column("sort_id").to_pylist(), b.column("text"), strict=True):
+            for doc_id, ids in zip(b.column("sort_id").to_pylist(), _encoded(enc, b.column("text")), strict=True):
                 seq = seq + 1 if doc_id == before[0] and len(before) == 2 else 0
                 before = (doc_id, 0)
-                table.add(key_of(doc_id, seq), _encoded(enc, text.as_py() or "") + end)
+                table.add(key_of(doc_id, seq), np.append(ids, end))
         table.close()
         if table.docs:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [table.docs], "n_tokens": [table.tokens]})
@@ -285,17 +291,33 @@ def _write(folder: str, vocab: str, end_id: int, id_bytes: int):
     return run
 
 
-def _encoded(enc: Encoder, text: str) -> bytes:
-    """In pieces that end at a blank, so that a very long text needs little memory besides its ids."""
-    if len(text) <= ENCODE_CHARS:
-        return enc.encode(text)
-    out, at = [], 0
-    while at < len(text):
-        cut = text.find(" ", at + ENCODE_CHARS)
-        cut = len(text) if cut < 0 else cut
-        out.append(enc.encode(text[at:cut]))
-        at = cut
-    return b"".join(out)
+def _groups(col: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of some ``ENCODE_BYTES`` of text; a longer text is a range of its own."""
+    size = np.nan_to_num(pc.binary_length(col).to_numpy(zero_copy_only=False)).astype(np.int64)
+    low = total = 0
+    for k, n in enumerate(size.tolist()):
+        if k > low and total + n > ENCODE_BYTES:
+            yield low, k
+            low, total = k, 0
+        total += n
+    if low < len(size):
+        yield low, len(size)
+
+
+def _encoded(enc: Encoder, col: pa.Array) -> Iterator[np.ndarray]:
+    """The ids of each text of a column. A very long text goes in parts that end at a blank."""
+    col = pc.fill_null(col, "")
+    for low, high in _groups(col):
+        if high - low > 1 or len(text := col[low].as_py()) <= ENCODE_BYTES:
+            yield from enc.encode_all(col.slice(low, high - low))
+            continue
+        out, at = [], 0
+        while at < len(text):
+            cut = text.find(" ", at + ENCODE_BYTES)
+            cut = len(text) if cut < 0 else cut
+            out += enc.encode_all(pa.array([text[at:cut]]))
+            at = cut
+        yield np.concatenate(out)
 
 
 def write(docs: DataFrame, vocab: str, end_id: int = 1, id_bytes: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, file_order: bool = False) -> DataFrame:

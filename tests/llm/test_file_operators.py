@@ -1,9 +1,11 @@
 """HTML, WARC, mixing, token tables and the pipeline."""
 
 import gzip
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -168,6 +170,25 @@ def test_encoder_is_exact(prose):
         assert np.frombuffer(e.encode(t), "<u4").tolist() == e.tok.encode(t, add_special_tokens=False).ids
 
 
+def test_encoder_on_random_strings():
+    e, r = sstable.Encoder(vocabulary()), random.Random(5)
+    letters = ["İ", "ı", "ß", "É", "é", "Ω", "Σ", "ς", "Ǆ", "ŉ", "ﬁ", "한", "漢", "A", "b", "q", "\u0307", "\u0301", "\u0338", "ª", "ⅷ", "٣", "7", "'s", "'", "\x85", "\xa0", "\u2028", "\x1c", "\t"]
+    drawn = letters + list(sstable.PUNCTUATION) + ["İ", "ab", " "]
+    texts = ["".join(r.choice(drawn) for _ in range(r.randint(1, 9))) for _ in range(60_000)]
+    want = [x.ids for x in e.tok.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, a, b in zip(texts, e.encode_all(pa.array(texts)), want, strict=True) if a.tolist() != b]
+    assert wrong == []
+
+
+def test_parts_of_a_long_text(prose, monkeypatch):
+    e = sstable.Encoder(vocabulary())
+    texts = [prose(700, 1), None, "", prose(30, 2), prose(2, 3) * 40, prose(300, 4)]
+    want = [e.tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (64, 1000, 1 << 20):
+        monkeypatch.setattr(sstable, "ENCODE_BYTES", size)
+        assert [x.tolist() for x in sstable._encoded(e, pa.array(texts))] == want
+
+
 def test_tables(spark, docs_of, prose):
     rows = [(k * 3 - 30, prose(k % 50, k), "s") for k in range(120)] + [(None, "x", "s"), (0, prose(4, 1), "s"), (0, prose(4, 2), "s")]
     manifest = sstable.write(docs_of(rows), vocabulary(), shard_bytes=4000)
