@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from skewloom.session import Scratch
 
-from .common import ALNUM, ascii_lower, extract, hash_of, small_side
+from .common import ALNUM, alnum_words, hash_of, small_side
 
 SHINGLE, WINDOW, STEP, BANDS = 5, 8, 4, 32
 MIN_CONTAINED = 0.8
@@ -59,7 +59,7 @@ TEMPLATES = {
 
 
 def _words(text: Column) -> Column:
-    return extract(ascii_lower(text), ALNUM)
+    return alnum_words(text)
 
 
 def _shingles(words: Column) -> Column:
