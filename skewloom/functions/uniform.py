@@ -12,10 +12,6 @@ def uniform(seed: int, *keys: Column | str, stream: int = 0) -> Column:
     return top.cast("double") / float(1 << 53)
 
 
-def fraction(seed: int, *keys: Column | str, stream: int = 0) -> Column:
-    return uniform(seed, *keys, stream=stream)
-
-
 def integer(seed: int, low: Column | int, high: Column | int, *keys: Column | str, stream: int = 0) -> Column:
     """A whole number from ``low`` up to, not including, ``high``; ``high`` if both are equal, -1 if low is above."""
     low, high = (F.lit(x) if isinstance(x, int) else x for x in (low, high))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skewloom.plans.skew import gather
+from skewloom.plans.skew import Gather, gather
 from skewloom.session import Scratch
 
 from .graph import Graph
@@ -21,7 +21,7 @@ def pagerank(graph: Graph, damping: float = 0.5, total: float = 1000.0, toleranc
     n = graph.vertices.count()
     degree = graph.edges.groupBy(F.col("src").alias("d_src")).agg(F.count("*").alias("degree"))
     weighed = graph.multiplicity().join(degree, F.col("src") == F.col("d_src")).select("src", "dst", (F.col("n") / F.col("degree")).alias("part"))
-    edges = scratch.table(weighed, "edges")
+    edges = Gather(scratch, scratch.table(weighed, "edges"), "src", strategy)
     sources = degree.select(F.col("d_src").alias("h"))
     start = graph.vertices.join(sources, F.col("id") == F.col("h"), "left").select("id", F.lit(total / max(n, 1)).alias("rank"), F.col("h").isNull().alias("dangling"), F.lit(None).cast("double").alias("change"))
     state = scratch.table(start, "rank0")
@@ -30,14 +30,14 @@ def pagerank(graph: Graph, damping: float = 0.5, total: float = 1000.0, toleranc
         if k > 1 and (lost[1] or 0.0) <= tolerance:
             break
         base = (1 - damping) * total / max(n, 1) + damping * (lost[0] or 0.0) / max(n, 1)
-        met = gather(edges, "src", state.select(F.col("id").alias("s"), "rank"), "s", strategy)
+        met = edges.join(state.select(F.col("id").alias("s"), "rank"), "s", n)
         flow = met.groupBy(F.col("dst").alias("f_id")).agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
         both = state.join(flow, state["id"] == flow["f_id"], "left")
         rank = F.coalesce("flow", F.lit(0.0)) * damping + base
         after = scratch.table(both.select("id", rank.alias("rank"), "dangling", F.abs(rank - F.col("rank")).alias("change")), f"rank{k}")
         scratch.drop(state)
         state = after
-    return state.select("id", "rank")
+    return scratch.finish(state.select("id", "rank"))
 
 
 def synthetic_matrix(scratch: Scratch, graph: Graph) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skewloom.session import Scratch
@@ -43,12 +43,13 @@ def characteristic_path_length(graph: Graph) -> DataFrame:
 
 
 def clustering(graph: Graph) -> DataFrame:
-    """``id coefficient`` over undirected edges given both ways: edges among neighbours by possible ones; 0 below two.
+    """``id coefficient`` over undirected edges given both ways: weight among neighbours by possible edges; 0 below two.
 
-    Parallel edges count by their number; the neighbours are distinct. The triangle join sends the smaller
-    neighbour lists: wedges are made at the end of an edge with the lower degree.
+    Edges without a ``weight`` weigh one each; parallel edges add up; the neighbours are distinct. The triangle join sends the
+    smaller neighbour lists: wedges are made at the end of an edge with the lower degree.
     """
-    one = graph.multiplicity().where("src <> dst").select("src", "dst", "n")
+    weight = F.sum("weight") if "weight" in graph.edges.columns else F.count("*")
+    one = graph.edges.where("src <> dst").groupBy("src", "dst").agg(weight.alias("n"))
     k = one.groupBy(F.col("src").alias("k_id")).agg(F.count("*").alias("k"))
     ranked = one.join(k, one["src"] == k["k_id"]).select("src", "dst", "n", F.struct("k", "src").alias("a"))
     other = k.select(F.col("k_id").alias("b_id"), F.struct(F.col("k"), F.col("k_id").alias("src")).alias("b"))
@@ -62,3 +63,38 @@ def clustering(graph: Graph) -> DataFrame:
     out = graph.vertices.join(k, F.col("id") == F.col("k_id"), "left").join(among, F.col("id") == F.col("t_id"), "left")
     value = F.when(F.col("k") >= 2, F.coalesce("among", F.lit(0)) / (F.col("k") * (F.col("k") - 1) / 2)).otherwise(0.0)
     return out.select("id", value.cast("double").alias("coefficient"))
+
+
+def mean_clustering(graph: Graph) -> DataFrame:
+    """One row ``coefficient``: the mean over all vertices."""
+    return clustering(graph).agg(F.avg("coefficient").alias("coefficient"))
+
+
+def small_world_trials(spark: SparkSession, n: int, degree: int, p: float, trials: int = 500, seed: int = 1) -> DataFrame:
+    """``trial rewired path_ratio cluster_ratio``: mean path length and clustering of rewired ring lattices by those of the lattice.
+
+    All trials are one graph of ``trials`` parts beside the lattice, so the measures are taken in one pass over all of them.
+    A part that is not connected has a null path ratio.
+    """
+    from skewloom.sources.generators import ring, small_world
+
+    scratch = Scratch(spark, "trials")
+    lattice = ring(spark, n, degree).select(F.lit(0).cast("long").alias("trial"), "src", "dst")
+    parts = lattice
+    for t in range(1, trials + 1):
+        parts = parts.unionByName(small_world(spark, n, degree, p, True, seed + t).edges.select(F.lit(t).cast("long").alias("trial"), "src", "dst"))
+    parts = scratch.table(parts, "parts")
+    apart = parts.select("trial", (F.col("src") + F.col("trial") * n).alias("src"), (F.col("dst") + F.col("trial") * n).alias("dst"))
+    whole = Graph(spark.range(n * (trials + 1)).select("id"), apart).symmetrize()
+    _, state = all_levels(scratch, whole, whole.vertices)
+    part = lambda c: F.floor(F.col(c) / n).cast("long").alias("trial")
+    hops = state.where("s <> v").groupBy(part("s")).agg(F.sum("level").alias("hops"), F.count("*").alias("pairs"))
+    length = hops.select(F.col("trial").alias("l_trial"), F.when(F.col("pairs") == n * (n - 1), F.col("hops") / F.col("pairs")).alias("path"))
+    cluster = clustering(whole).groupBy(part("id")).agg(F.avg("coefficient").alias("cluster"))
+    kept = parts.join(lattice.select(F.col("src").alias("a"), F.col("dst").alias("b")), (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left")
+    rewired = kept.groupBy(F.col("trial").alias("r_trial")).agg(F.sum(F.col("a").isNull().cast("long")).alias("rewired"))
+    every = cluster.join(length, F.col("trial") == F.col("l_trial")).join(rewired, F.col("trial") == F.col("r_trial"))
+    measured = scratch.table(every.select("trial", "rewired", "path", "cluster"), "measured")
+    base = measured.where("trial = 0").first()
+    ratio = lambda c: F.when(F.lit(base[c] or 0.0) > 0, F.col(c) / F.lit(base[c])).alias(f"{c}_ratio")
+    return measured.where("trial > 0").select("trial", "rewired", ratio("path"), ratio("cluster"))

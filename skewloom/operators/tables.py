@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skewloom.plans.skew import gather
+from skewloom.plans.skew import SALTS, THRESHOLD, gather
 
 from .graph import Graph
 
@@ -41,25 +41,29 @@ def split_by_degree(graph: Graph, threshold: int) -> tuple[DataFrame, DataFrame]
     return d.where(F.col("degree") < threshold), d.where(F.col("degree") >= threshold)
 
 
-def work_arithmetic(data: Column, steps: int) -> Column:
-    """``steps`` rounds of ``v1 += v2; v2 += v1`` from ``(data, 1)``, then ``v2``: a Fibonacci pair in closed form."""
-    a, b = 0, 1  # F(0), F(1)
-    for _ in range(2 * steps):
-        a, b = b, a + b
-    return data * float(a) + float(b)
+def work_arithmetic(data: Column, steps: Column | int) -> Column:
+    """``steps`` rounds of ``v1 += v2; v2 += v1`` from ``(data, 1)``, then ``v2``, in doubles; steps may be a column."""
+    steps = F.lit(steps) if isinstance(steps, int) else steps
+    turns = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    start = F.struct(data.cast("double").alias("a"), F.lit(1.0).alias("b"))
+    return F.aggregate(turns, start, lambda v, _: F.struct((v["a"] + v["b"]).alias("a"), (v["b"] + (v["a"] + v["b"])).alias("b")), lambda v: v["b"])
 
 
-def nested_work(rows: DataFrame, work: Column | None = None, form: str = "scalar", salts: int = 1) -> DataFrame:
+def nested_work(rows: DataFrame, work: Column | None = None, strategy: str = "auto", threshold: int = THRESHOLD, salts: int = SALTS) -> DataFrame:
     """``idx rst``: the sum of ``work`` over ``iter`` turns of each row ``idx iter data``; unit work by default.
 
-    ``scalar`` multiplies, as a turn does not depend on its number; ``rows`` makes a row of every turn and
-    sums them, which is the shape of a nested loop, with the turns of one row spread over ``salts`` groups.
+    ``auto`` multiplies, as a turn does not depend on its number. ``salt`` makes a row of every turn and sums them, which is
+    the shape of a nested loop, with the turns of one row spread over ``salts`` groups. ``degree_split`` does so for rows with
+    more turns than ``threshold`` and multiplies for the others. ``idx`` is a key.
     """
     work = F.lit(1.0) if work is None else work
-    if form == "scalar":
+    if strategy == "auto":
         return rows.select("idx", (F.greatest(F.col("iter"), F.lit(0)) * work).cast("double").alias("rst"))
-    if form != "rows":
-        raise ValueError("form must be scalar or rows")
+    if strategy == "degree_split":
+        light = nested_work(rows.where(F.col("iter") <= threshold), work)
+        return light.unionByName(nested_work(rows.where(F.col("iter") > threshold), work, "salt", salts=salts))
+    if strategy != "salt":
+        raise ValueError("strategy must be auto, degree_split or salt")
     turns = F.when(F.col("iter") > 0, F.sequence(F.lit(1), F.col("iter"))).otherwise(F.array().cast("array<int>"))
     each = rows.select("idx", work.alias("w"), F.explode_outer(turns).alias("turn"))
     part = each.groupBy("idx", F.pmod(F.coalesce("turn", F.lit(0)), F.lit(salts)).alias("salt")).agg(F.sum(F.when(F.col("turn").isNotNull(), F.col("w")).otherwise(0.0)).alias("w"))

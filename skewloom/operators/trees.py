@@ -13,7 +13,7 @@ def tree_levels(scratch: Scratch, tree: DataFrame) -> tuple[list[DataFrame], Dat
     """Tables of each level, and all of them: ``node parent level``."""
     edges = scratch.table(tree.select("node", "parent"), "tree")
 
-    def step(front: DataFrame, visited: DataFrame, k: int) -> DataFrame:
+    def step(front: DataFrame, visited: DataFrame, k: int, rows: int) -> DataFrame:
         up = front.select(F.col("node").alias("p"))
         return edges.join(up, edges["parent"] == up["p"]).select("node", "parent", F.lit(k).alias("level"))
 

@@ -1,8 +1,8 @@
 """The driver loop of all iterative operators.
 
-A step takes the state of the last round and returns the next as a plan. Each round is written to the
+A step takes the last round's rows and returns the next as a plan. Each round is written to the
 shared folder, which cuts lineage and makes a lost executor repeat one round at most; one number per
-round comes back to the driver and decides whether to go on.
+round, observed while it is written, comes back to the driver and decides whether to go on.
 """
 
 from __future__ import annotations
@@ -24,43 +24,58 @@ class Result:
     sizes: list[int] = field(default_factory=list)
 
 
-def fixpoint(scratch: Scratch, state: DataFrame, step: Callable[[DataFrame, int], DataFrame], max_rounds: int = 10_000, changed: str = "changed") -> Result:
-    """Repeats ``step`` until no row has the ``changed`` flag or ``max_rounds`` rounds are done."""
-    now, sizes = scratch.table(state, "state0"), []
+def improve(scratch: Scratch, start: DataFrame, offers: Callable[[DataFrame, int], DataFrame], value: str, least: bool, max_rounds: int = 10_000, compact_every: int = 12) -> Result:
+    """The best value of each id, least or greatest: ``offers(front, rows)`` gives rows ``id value`` from the rows that changed last.
+
+    Each round writes only the rows that got better. The state is the best of all that was written; its tables are
+    merged now and then.
+    """
+    best = F.min if least else F.max
+    front, n = scratch.counted(start.select("id", value), "state0")
+    log, sizes = [front], []
     for k in range(1, max_rounds + 1):
-        after = scratch.table(step(now, k), f"state{k}")
-        scratch.drop(now)
-        now = after
-        sizes.append(now.where(changed).count())
-        if not sizes[-1]:
+        every = _union(log).groupBy(F.col("id").alias("k_id")).agg(best(value).alias("known"))
+        made = offers(front, n)
+        better = F.col(value) < F.col("known") if least else F.col(value) > F.col("known")
+        met = made.join(every, made["id"] == every["k_id"], "left").where(F.col("known").isNull() | better)
+        front, n = scratch.counted(met.select("id", value), f"changed{k}")
+        sizes.append(n)
+        if not n:
             break
-    return Result(now, len(sizes), sizes)
+        log.append(front)
+        if len(log) >= compact_every:
+            merged = scratch.table(_union(log).groupBy("id").agg(best(value).alias(value)), f"merged{k}")
+            scratch.drop(*[t for t in log if t is not front])
+            log = [merged]
+    return Result(_union(log).groupBy("id").agg(best(value).alias(value)), len(sizes), sizes)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def levels(scratch: Scratch, start: DataFrame, step: Callable[[DataFrame, DataFrame, int], DataFrame], max_levels: int = 10_000, compact_every: int = 16) -> tuple[list[DataFrame], Result]:
-    """Level-synchronous growth: ``step(frontier, visited, k)`` gives level ``k``, which must be new rows.
+def levels(scratch: Scratch, start: DataFrame, step: Callable[[DataFrame, DataFrame, int, int], DataFrame], max_levels: int = 10_000, compact_every: int = 16) -> tuple[list[DataFrame], Result]:
+    """Level-synchronous growth: ``step(frontier, visited, k, rows)`` gives level ``k`` of a frontier of so many rows; it must be new rows.
 
     Every level is a table of its own, so a round writes its frontier only. The tables of many levels
     are merged now and then, which keeps the plan of the anti join short.
     """
-    front = scratch.table(start, "level0")
+    front, n = scratch.counted(start, "level0")
     parts, merged, sizes = [front], [front], []
     for k in range(1, max_levels + 1):
-        visited = merged[0]
-        for p in merged[1:]:
-            visited = visited.unionByName(p)
-        front = scratch.table(step(front, visited, k), f"level{k}")
-        sizes.append(front.count())
-        if not sizes[-1]:
+        visited = _union(merged)
+        front, n = scratch.counted(step(front, visited, k, n), f"level{k}")
+        sizes.append(n)
+        if not n:
             break
         parts.append(front)
         merged.append(front)
         if len(merged) >= compact_every:
             merged = [scratch.table(visited.unionByName(front), f"merged{k}")]
-    every = merged[0]
-    for p in merged[1:]:
-        every = every.unionByName(p)
-    return parts, Result(every, len(parts) - 1, sizes)
+    return parts, Result(_union(merged), len(parts) - 1, sizes)
 
 
 def last_level(df: DataFrame, column: str = "level") -> int:

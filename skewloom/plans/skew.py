@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skewloom.session import Scratch
+
 STRATEGIES = ("auto", "degree_split", "salt", "broadcast")
 BROADCAST_ROWS = 1_000_000
 #: Default number of rows of a key from which it counts as heavy.
@@ -18,33 +20,47 @@ THRESHOLD = 1024
 SALTS = 16
 
 
-def _hot(many: DataFrame, key: str, threshold: int) -> DataFrame:
-    return many.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > threshold).select(F.col(key).alias("__hot"))
+class Gather:
+    """The inner join of edge rows ``many`` with state rows, for one loop: hot keys are found and dealt with once."""
+
+    def __init__(self, scratch: Scratch, many: DataFrame, key: str, strategy: str = "auto", threshold: int = THRESHOLD, salts: int = SALTS):
+        if strategy not in STRATEGIES:
+            raise ValueError(f"strategy must be one of {STRATEGIES}")
+        self.many, self.key, self.strategy, self.salts = many, key, strategy, salts
+        if strategy in ("degree_split", "salt"):
+            found = many.groupBy(F.col(key).alias("__hot")).agg(F.count("*").alias("__n")).where(F.col("__n") > threshold).select("__hot")
+            hot, n = scratch.counted(found, "hot")
+            if n > BROADCAST_ROWS:  # too many to be exceptions: adaptive execution splits them
+                self.strategy = "auto"
+                return
+            # The hot keys are sent to the edges, so that no key is moved whole to find out that it is hot.
+            self.hot = F.broadcast(hot)
+            marked = many.join(self.hot, many[key] == F.col("__hot"), "left")
+            if strategy == "salt":
+                salt = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*many.columns), F.lit(salts))).otherwise(0)
+                self.many = scratch.table(marked.withColumn("__salt", salt.cast("int")).drop("__hot"), "salted")
+            else:
+                split = scratch.table(marked.withColumn("__heavy", F.col("__hot").isNotNull()).drop("__hot"), "split")
+                self.light, self.heavy = split.where("NOT __heavy").drop("__heavy"), split.where("__heavy").drop("__heavy")
+
+    def join(self, few: DataFrame, few_key: str, rows: int | None = None) -> DataFrame:
+        """``few`` has ``rows`` rows; they are counted if that is not given and matters."""
+        on = lambda a, b: a[self.key] == b[few_key]
+        small = lambda df: F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+        if self.strategy == "broadcast":
+            return self.many.join(small(few), on(self.many, few))
+        if self.strategy == "degree_split":
+            is_hot = few[few_key] == F.col("__hot")
+            heavy, light = few.join(self.hot, is_hot, "left_semi"), few.join(self.hot, is_hot, "left_anti")
+            heavy = small(heavy)
+            return self.light.join(light, on(self.light, light)).unionByName(self.heavy.join(heavy, on(self.heavy, heavy)))
+        if self.strategy == "salt":
+            copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(self.salts - 1))).otherwise(F.array(F.lit(0)))
+            right = few.join(self.hot, few[few_key] == F.col("__hot"), "left").withColumn("__s", F.explode(copies)).drop("__hot")
+            return self.many.join(right, on(self.many, right) & (self.many["__salt"] == right["__s"])).drop("__salt", "__s")
+        return self.many.join(few, on(self.many, few))
 
 
 def gather(many: DataFrame, key: str, few: DataFrame, few_key: str, strategy: str = "auto", threshold: int = THRESHOLD, salts: int = SALTS) -> DataFrame:
-    """Inner join of edge rows ``many`` with state rows ``few``."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy must be one of {STRATEGIES}")
-    on = many[key] == few[few_key]
-    if strategy == "broadcast" and few.count() <= BROADCAST_ROWS:
-        return many.join(F.broadcast(few), on)
-    if strategy == "degree_split":
-        hot = _hot(many, key, threshold)
-        # At most rows / threshold keys are hot; the broadcast is checked all the same.
-        if hot.count() <= BROADCAST_ROWS:
-            hot = F.broadcast(hot)
-        heavy_few = few.join(hot, few[few_key] == F.col("__hot"), "left_semi")
-        light_few = few.join(hot, few[few_key] == F.col("__hot"), "left_anti")
-        heavy = many.join(hot, many[key] == F.col("__hot"), "left_semi")
-        light = many.join(hot, many[key] == F.col("__hot"), "left_anti")
-        heavy_few = F.broadcast(heavy_few) if heavy_few.count() <= BROADCAST_ROWS else heavy_few
-        return light.join(light_few, light[key] == light_few[few_key]).unionByName(heavy.join(heavy_few, heavy[key] == heavy_few[few_key]))
-    if strategy == "salt":
-        hot = _hot(many, key, threshold)
-        spread = F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(*many.columns), F.lit(salts))).otherwise(0)
-        left = many.join(hot, many[key] == F.col("__hot"), "left").withColumn("__salt", spread).drop("__hot")
-        copies = F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-        right = few.join(hot, few[few_key] == F.col("__hot"), "left").withColumn("__s", F.explode(copies)).drop("__hot")
-        return left.join(right, (left[key] == right[few_key]) & (left["__salt"] == right["__s"])).drop("__salt", "__s")
-    return many.join(few, on)
+    """One such join."""
+    return Gather(Scratch(many.sparkSession, "gather"), many, key, strategy, threshold, salts).join(few, few_key)

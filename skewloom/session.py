@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
-import weakref
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "skewloom", master: str | None = None, cpus: int | None = None, **conf: str) -> SparkSession:
@@ -44,6 +45,7 @@ def ship_package(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parent
     where = os.path.join(tempfile.mkdtemp(prefix=f"{package.name}-"), f"{package.name}.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(where), ignore_errors=True)
     with zipfile.ZipFile(where, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
@@ -52,17 +54,23 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share, with its scheme.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests, one machine)
-    is a folder under /tmp chosen.
+    A cluster names it in ``spark.checkpoint.dir``; a path without a scheme is of the default file system.
+    Only on a local master, where tasks see the driver's disk, is a folder under /tmp chosen if it is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file:///tmp/checkpoints/{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/") if "://" in named or named.startswith("file:") else f"file://{named.rstrip('/')}"
+    named = named.rstrip("/")
+    if ":" not in named.split("/", 1)[0]:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(named)
+        named = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return f"file://{named[5:]}" if named.startswith("file:/") and not named.startswith("file://") else named
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
@@ -76,8 +84,8 @@ class Scratch:
     """Written tables in the shared folder: they cut lineage and outlive lost executors.
 
     ``table`` writes a DataFrame as Parquet and reads it back, so what follows depends on files
-    and not on earlier stages. ``drop`` frees a table that is no longer needed; the rest goes when
-    the interpreter ends (results that were returned may still read it until then).
+    and not on earlier stages. ``drop`` frees tables that are no longer needed, ``finish`` all but those that a
+    result reads; the rest goes when the interpreter ends (results that were returned may still read it until then).
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -85,10 +93,8 @@ class Scratch:
         ship_package(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._count = 0
-        self._paths: dict[int, str] = {}
-        ref = weakref.ref(self)
-        atexit.register(lambda: (s := ref()) and s.clear())
-        _live.append(self)
+        self._tables: set[str] = set()
+        atexit.register(_clear, spark, self.root)
 
     def path(self, name: str) -> str:
         self._count += 1
@@ -98,26 +104,52 @@ class Scratch:
         where = self.path(name)
         df.write.parquet(where)
         out = self.spark.read.schema(df.schema).parquet(where)
-        self._paths[id(out)] = where
+        out._scratch_path = where
+        self._tables.add(where)
         return out
 
+    def counted(self, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The table and its number of rows, which is observed while it is written."""
+        seen = Observation()
+        out = self.table(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+        return out, seen.get["n"]
+
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            where = self._paths.pop(id(t), None)
-            if where:
+            where = getattr(t, "_scratch_path", None)
+            if where in self._tables:
+                self._tables.discard(where)
+                remove_path(self.spark, where)
+
+    def finish(self, out: DataFrame) -> DataFrame:
+        """``out``; tables of this folder that it does not read go."""
+        read = {f[: f.rindex("/")].rpartition(self.root.rpartition("/")[2])[2] for f in out.inputFiles()}
+        for where in sorted(self._tables):
+            if where.rpartition(self.root.rpartition("/")[2])[2] not in read:
+                self._tables.discard(where)
                 remove_path(self.spark, where)
+        return out
+
 
-    def clear(self) -> None:
-        try:
-            remove_path(self.spark, self.root)
-        except Exception:  # noqa: BLE001 - the JVM may already be gone when the interpreter ends
-            pass
+def _clear(spark: SparkSession, root: str) -> None:
+    try:
+        remove_path(spark, root)
+    except Exception:  # noqa: BLE001 - the JVM may already be gone when the interpreter ends
+        pass
 
 
-_live: list[Scratch] = []
+#: Tables of fewer files than cores, and of at most so many bytes a core, are spread over all cores when read.
+SPREAD_BYTES = 16 << 20
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One driver table."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One driver table; ``spread`` deals the rows of a small table in few files to all cores, for costly work on rows."""
     ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if spread and len(files := df.inputFiles()) < cores:
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+        size = sum(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in map(fs.Path, files))
+        if size <= SPREAD_BYTES * cores:
+            return df.repartition(cores)
+    return df

@@ -184,8 +184,8 @@ def test_nested_work(spark):
         return n * v2
 
     want = {0: by_hand(1.5, 3), 1: 0.0, 2: by_hand(4.0, 1)}
-    for form, salts in (("scalar", 1), ("rows", 1), ("rows", 3)):
-        assert {r.idx: r.rst for r in tables.nested_work(rows, work, form, salts).collect()} == want
+    for form, salts in (("auto", 1), ("salt", 1), ("salt", 3), ("degree_split", 2)):
+        assert {r.idx: r.rst for r in tables.nested_work(rows, work, form, 2, salts).collect()} == want
 
 
 def test_numbering_over_ranges(spark, monkeypatch):
