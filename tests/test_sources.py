@@ -92,7 +92,7 @@ def test_generated_graphs(spark, make):
 
 
 def test_generated_shapes(spark):
-    assert sorted(pairs(gen.ring_lattice(spark, 5, 2))) == [(k, (k + 1) % 5) for k in range(5)] or len(pairs(gen.ring_lattice(spark, 5, 2))) == 5
+    assert pairs(gen.ring_lattice(spark, 5, 4)) == sorted((k, (k + s) % 5) for k in range(5) for s in (1, 2))
     t = gen.regular_tree(spark, 3, 2).orderBy("node").collect()
     assert [(r.node, r.parent, r.level) for r in t] == [(0, None, 0), (1, 0, 1), (2, 0, 1), (3, 1, 2), (4, 1, 2), (5, 2, 2), (6, 2, 2)]
     r = gen.random_tree(spark, 2, 4, 1, 3, 1).collect()
@@ -103,6 +103,32 @@ def test_generated_shapes(spark):
     assert keys[0] == 1 and all(1 <= b - a <= 3 for a, b in zip(keys, keys[1:], strict=False))
 
 
+def test_degree_laws(spark):
+    out = lambda g: {r.id: r.degree for r in g.out_degree().collect()}
+    want = {r.idx: min(r.iter, 29) for r in gen.trip_counts(spark, 30, 1, 40, seed=3).collect()}
+    dense = gen.degree_graph(spark, 30, 1, 40, seed=3)
+    assert out(dense) == want and len(set(pairs(dense))) == sum(want.values())
+    assert set(out(gen.random_directed(spark, 40, 2, 5)).values()) <= {2, 3, 4, 5}
+    g = gen.random_undirected(spark, 40, 3, 5)
+    d = list(out(g).values())
+    assert max(d) <= 5 and sum(x < 3 for x in d) <= 2 and len(traversal.bfs(g, 0).collect()) == 40
+    w = gen.small_world(spark, 30, 6, 0.5)
+    p = pairs(w)
+    assert len({frozenset(x) for x in p}) == len(p) == 90 and any((b - a) % 30 > 3 for a, b in p)
+    f, report = gen.scale_free(spark, 60, 1.8)
+    assert all(r.expected == r.actual for r in report.collect()) and len(traversal.bfs(f.symmetrize(), 0).collect()) == 60
+    assert len(set(pairs(f))) == len(pairs(f)) and sum(c for _, c in gen.scale_free_degrees(60, 1.8)) == 60
+
+
+def test_small_world_trials(spark):
+    from skewloom.operators import metrics
+
+    got = metrics.small_world_trials(spark, 20, 4, 0.3, trials=2, seed=5).collect()
+    assert sorted(r.trial for r in got) == [1, 2] and all(r.rewired > 0 and r.path_ratio < 1 and r.cluster_ratio < 1 for r in got)
+    still = metrics.small_world_trials(spark, 20, 4, 0.0, trials=1).first()
+    assert (still.rewired, still.path_ratio, still.cluster_ratio) == (0, 1.0, 1.0)
+
+
 def test_command_line(spark, tmp_path):
     assert cli.main(["sssp", "--import", put(tmp_path, DIMACS9), "--out", str(tmp_path / "r"), "--strategy", "salt"]) == 0
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "r")).collect())[1] == "From Node 1 -> 2 is 4"
