@@ -19,19 +19,33 @@ def g_orders(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), edges)
 
 
-def g_dangling(spark: SparkSession, sf_dir: str) -> Graph:
-    g = g_orders(spark, sf_dir)
-    return Graph(g.vertices, g.edges.where("src % 7 <> 0"))
+def g_trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """Customers as in :func:`g_orders`, and suppliers after them, with an edge from the customer of each line to its supplier.
 
-
-def g_small(spark: SparkSession, sf_dir: str) -> Graph:
-    """A hundred vertices: both ends of every fortieth edge modulo 100."""
-    e = g_orders(spark, sf_dir).edges.where("pos % 40 = 0").select((F.col("src") % 100).alias("src"), (F.col("dst") % 100).alias("dst"), "weight", "pos")
-    return Graph(spark.range(100).select("id"), e)
-
-
-def g_sym(spark: SparkSession, sf_dir: str) -> Graph:
-    return g_small(spark, sf_dir).symmetrize()
+    Suppliers have no out-edge.
+    """
+    g, n = g_orders(spark, sf_dir), read_table(spark, sf_dir, "customer").count()
+    o, li = read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem")
+    sold = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + n).alias("dst"))
+    suppliers = read_table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + n).alias("id"))
+    return Graph(g.vertices.unionByName(suppliers), g.edges.select("src", "dst").unionByName(sold))
+
+
+def g_supply(spark: SparkSession, sf_dir: str) -> Graph:
+    """Suppliers, each with three edges: to the next one, to one by its number, to one by its nation. For measures over all pairs."""
+    s = read_table(spark, sf_dir, "supplier")
+    n = F.lit(s.count())
+    k = F.col("s_suppkey")
+    ends = F.posexplode(F.array((k + 1) % n, (7 * k + 3) % n, (k + F.col("s_nationkey") + 2) % n))
+    edges = s.select(k.alias("src"), F.col("s_nationkey"), ends.alias("j", "dst"))
+    edges = edges.select("src", "dst", (1 + F.col("s_nationkey") + F.col("j")).cast("long").alias("weight"), (3 * F.col("src") + F.col("j")).alias("pos"))
+    return Graph(s.select(k.alias("id")), edges)
+
+
+def both_ways(graph: Graph) -> Graph:
+    """Every edge in both directions with its weight, without loops; parallel edges stay."""
+    e = graph.edges.where("src <> dst").select("src", "dst", "weight")
+    return Graph(graph.vertices, e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")))
 
 
 def t_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

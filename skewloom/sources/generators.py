@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -165,12 +166,15 @@ def small_world(spark: SparkSession, n: int, degree: int, p: float, proper: bool
 
 
 def scale_free_degrees(n: int, gamma: float) -> list[tuple[int, int]]:
-    """``degree, vertices``: about ``n / degree^gamma`` vertices of each degree, until all are given one."""
-    want, left, degree = [], n, 1
-    while left > 0 and degree < n and (c := min(left, round(n / degree**gamma))) > 0:
+    """``degree, vertices``: ``n / degree^gamma`` vertices, rounded, of each degree from 2 on, and the rest of degree 1.
+
+    With a small ``gamma``, for which that is more than all vertices, the lowest degrees come first.
+    """
+    want, left, degree = [], n, 2
+    while degree < n and (c := min(left, math.floor(n / degree**gamma + 0.5))) > 0:
         want.append((degree, c))
         left, degree = left - c, degree + 1
-    return [(1, want[0][1] + left), *want[1:]] if left and want else want
+    return [(1, left), *want] if left else want
 
 
 def scale_free(spark: SparkSession, n: int, gamma: float, seed: int = 1) -> tuple[Graph, DataFrame]:
