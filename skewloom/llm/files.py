@@ -8,9 +8,21 @@ from pyarrow import fs as pafs
 
 
 def at(path: str) -> tuple[pafs.FileSystem, str]:
+    """Spark names the S3 scheme after its connector."""
+    for scheme in ("s3a://", "s3n://"):
+        if path.startswith(scheme):
+            path = f"s3://{path[len(scheme):]}"
     return pafs.FileSystem.from_uri(path)
 
 
+def sweep(folder: str) -> None:
+    """Removes what failed tasks left unfinished, once all tasks are done."""
+    fs, name = at(folder)
+    for f in fs.get_file_info(pafs.FileSelector(name, allow_not_found=True)):
+        if f.path.endswith(".part"):
+            fs.delete_file(f.path)
+
+
 class Writer:
     """A file that appears under its name only when complete; a repeated task replaces it."""
 

@@ -13,8 +13,9 @@ import numpy as np
 PATH_DIM, WORD_DIM, SCALARS = 192, 32, 8
 DIM = PATH_DIM + WORD_DIM + SCALARS
 
-_ATTRS = r"""(?>[^>"']*(?:"[^"]{0,4096}"[^>"']*|'[^']{0,4096}'[^>"']*)*)>|[^>]*>"""
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:{_ATTRS}))|<[!?/][^>]*>", re.S)
+_TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*>")
+#: What ends a tag, or opens a quoted value in it.
+_STOP = re.compile(r"""=\s*["']|>""")
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _SPACE = re.compile(r"\s+")
@@ -38,7 +39,34 @@ def _names(attrs: str) -> tuple[str, ...]:
     out = []
     for _, a, b, c in _NAMES.findall(attrs):
         out += [x.lower() for x in _PIECE.findall(a or b or c)]
-    return tuple(out[:12])
+    return tuple(out)
+
+
+class _Tags:
+    """Ends of tags and comments of one page. What is known to be absent from a place on is not looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.absent = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        found = -1 if what in self.absent else self.page.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+        return found
+
+    def end(self, at: int) -> int:
+        """The place after the ``>`` of a tag, or -1; a quoted value may hold any other."""
+        i = at
+        while True:
+            m = None if ">" in self.absent else _STOP.search(self.page, i)
+            if m is None:
+                return self.find(">", at) + 1 or -1
+            if m[0] == ">":
+                return m.end()
+            close = self.find(m[0][-1], m.end())
+            if close < 0:  # never closed: quotes do not count
+                return self.find(">", at) + 1 or -1
+            i = close + 1
 
 
 class Block:
@@ -78,7 +106,7 @@ def blocks(page: str) -> list[Block]:
             silent -= tag in SILENT
         del stack[k:]
 
-    at, end = 0, len(page)
+    at, end, tags = 0, len(page), _Tags(page)
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -89,7 +117,14 @@ def blocks(page: str) -> list[Block]:
         at = m.end()
         name = m[2]
         if name is None:
+            if m[0] == "<!--":
+                close = tags.find("-->", at)
+                at = end if close < 0 else close + 3
             continue
+        close = tags.end(at)
+        if close < 0:  # the page ends inside a tag
+            break
+        attrs, at = page[at : close - 1], close
         name = name.lower()
         if name == "br":
             add(" ")
@@ -120,7 +155,7 @@ def blocks(page: str) -> list[Block]:
                         break
                 elif stack[k][0] in _HOLDS:
                     break
-        if name in _VOID or m[3].endswith("/>") and not block and name not in SILENT:
+        if name in _VOID or attrs.endswith("/") and not block and name not in SILENT:
             continue
         if name in _RAW:
             close = _END[name].search(page, at)
@@ -128,7 +163,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name == "body" and silent:
             pop(0)
-        stack.append((name, _names(m[3])))
+        stack.append((name, _names(attrs)))
         link += name == "a"
         silent += name in SILENT
     flush()

@@ -4,7 +4,8 @@ A page is a sequence of leaf blocks. Each block is a vector of its hashed tag pa
 and id words), its hashed words and a few scalars; one LSTM reads the sequence forwards and one backwards,
 and a logistic unit on both states says whether the block is main text. So the label of a block depends
 on all blocks of its page. The model is trained here, in NumPy, on ``PRACTICE_PAGES`` practice pages that
-are made together with their labels; training is seeded and happens once in a process.
+are made together with their labels. Training is seeded; ``python -m skewloom.llm.html_extract`` repeats it and writes
+the weights to ``labeller.npz`` beside this module, from where they are read.
 
 Text is decoded, white space inside a block becomes one space, blocks are joined in page order by a line
 feed. A null or empty page gives an empty text. Repeated rows each get their answer; an empty table gives
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,9 @@ from . import page_maker
 from .html_blocks import DIM, blocks, features
 
 #: Bound on the labelled pages that the model is fitted on.
-PRACTICE_PAGES = 700
+PRACTICE_PAGES = 3000
 HIDDEN = 16
-EPOCHS = 14
+EPOCHS = 10
 BATCH = 32
 #: Padded blocks that are labelled at a time.
 BATCH_BLOCKS = 16_384
@@ -159,9 +161,18 @@ def practice(n: int, seed: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     return xs, ys
 
 
-@lru_cache(1)
+WEIGHTS = Path(__file__).with_name("labeller.npz")
+
+
+@lru_cache(2)
 def trained(pages: int = PRACTICE_PAGES) -> Labeller:
-    return Labeller().fit(*practice(pages, 11))
+    """The stored model, or one that is fitted on another number of practice pages."""
+    if pages != PRACTICE_PAGES:
+        return Labeller().fit(*practice(pages, 11))
+    made = Labeller()
+    with np.load(WEIGHTS) as stored:
+        made.p = {k: stored[k] for k in made.p}
+    return made
 
 
 def texts_of(model: Labeller, pages: list[str | None]) -> list[str]:
@@ -186,3 +197,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """One row per page: ``page_id url text n_chars``."""
     picked = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     return picked.mapInArrow(_extract(trained(practice_pages)), "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    np.savez_compressed(WEIGHTS, **Labeller().fit(*practice(PRACTICE_PAGES, 11)).p)

@@ -10,39 +10,52 @@ placed: nothing is dropped or repeated. Sources of weight zero come after all ot
 A document belongs to the block in which it starts; one that is longer than a block uses up the slots it
 covers. Default weights are the sources' characters to the power ``alpha``; given weights of sources that
 do not occur are ignored, and a source without a given weight gets the least given one. A null source is
-a source, a null text is empty. Rows with equal id, source and text stand next to each other. The driver
-holds the slot of each block, one for every ``block_chars`` characters, and the list of sources.
+a source, a null text is empty; an empty table has no slot. Rows with equal id, source and text stand next to each other.
+Other columns, whatever their names, stay. The driver makes the schedule slot by slot and writes it to the shared folder in pieces;
+it holds one piece and the table of weights, of at most ``MAX_SOURCES`` sources.
 """
 
 from __future__ import annotations
 
 import heapq
+import io
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skewloom.session import Scratch
 
+from . import files
 from .common import small_side
 
 BLOCK_CHARS = 1 << 16
 ALPHA = 0.5
+#: Sources that have a weight of their own.
+MAX_SOURCES = 100_000
+#: Slots of the schedule that the driver holds at a time.
+SLOT_ROWS = 1 << 19
 #: Documents whose running sum one task takes.
 RANGE_ROWS = 100_000
 
 
 @dataclass
 class Phase:
-    """Until a source runs out: first block and first slot of each, its exact share of a period, and its slots."""
+    """Until a source runs out: first slot, first block of each source, and their exact shares of a period."""
 
     base: int
     period: int
     first: dict[int, int]
     share: dict[int, int]
-    slots: dict[int, list[int]]
+
+    def window(self, s: int, k: int) -> tuple[int, int]:
+        """Release and deadline of the block that is the phase's ``k``-th of ``s``."""
+        return self.base + k * self.period // self.share[s], self.base - (-(k + 1) * self.period // self.share[s])
 
 
 def shares(weights: dict[int, float]) -> dict[int, int]:
@@ -54,41 +67,65 @@ def shares(weights: dict[int, float]) -> dict[int, int]:
     return {s: w // common for s, w in whole.items()}
 
 
-def one_phase(share: dict[int, int], left: dict[int, int]) -> dict[int, list[int]]:
-    """Earliest deadline first until a source has placed its blocks: the slots of each source's blocks."""
-    period = sum(share.values())
+def one_phase(share: dict[int, int], left: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Earliest deadline first until a source has placed its blocks: the source of each slot, and which of its blocks."""
+    period, count = sum(share.values()), dict.fromkeys(share, 0)
     released = [(0, s) for s in share]
     ready: list[tuple[int, int]] = []
-    slots: dict[int, list[int]] = {s: [] for s in share}
     t = 0
     while True:
         while released and released[0][0] <= t:
             s = heapq.heappop(released)[1]
-            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * period // share[s]), s))
+            heapq.heappush(ready, (-(-(count[s] + 1) * period // share[s]), s))
         due, s = heapq.heappop(ready)
         assert due > t, "a deadline was missed"
-        slots[s].append(t)
+        yield s, count[s]
         t += 1
-        if len(slots[s]) == left[s]:
-            return slots
-        heapq.heappush(released, (len(slots[s]) * period // share[s], s))
+        count[s] += 1
+        if count[s] == left[s]:
+            return
+        heapq.heappush(released, (count[s] * period // share[s], s))
 
 
-def phases(blocks: dict[int, int], weights: dict[int, float]) -> list[Phase]:
-    """The whole schedule of ``blocks[s]`` blocks per source."""
-    left, base, out = {s: n for s, n in blocks.items() if n}, 0, []
+def placements(blocks: dict[int, int], weights: dict[int, float]) -> Iterator[tuple[Phase, int, int]]:
+    """The whole schedule of ``blocks[s]`` blocks per source, slot by slot: its phase, the source, and which of the phase's blocks."""
+    left, base = {s: n for s, n in blocks.items() if n}, 0
     done = {s: 0 for s in left}
     while left:
         share = shares({s: weights[s] for s in left})
-        slots = one_phase(share, left)
-        out.append(Phase(base, sum(share.values()), {s: done[s] for s in share}, share, slots))
-        for s, at in slots.items():
-            done[s] += len(at)
-            left[s] -= len(at)
-            base += len(at)
+        phase, count = Phase(base, sum(share.values()), {s: done[s] for s in share}, share), dict.fromkeys(share, 0)
+        for s, k in one_phase(share, left):
+            yield phase, s, k
+            count[s] += 1
+        for s, n in count.items():
+            done[s] += n
+            left[s] -= n
+            base += n
             if not left[s]:
                 del left[s], done[s]
-    return out
+
+
+def _written(scratch: Scratch, names: list, blocks: dict[int, int], weights: dict[int, float]) -> DataFrame:
+    """``t_source t_block slot release deadline``: the schedule, written in files of ``SLOT_ROWS`` rows, of which the driver holds one."""
+    folder, rows, n = scratch.path("slots"), [], 0
+    schema = pa.schema([("t_source", pa.string()), ("t_block", pa.int64()), ("slot", pa.int64()), ("release", pa.int64()), ("deadline", pa.int64())])
+
+    def flush() -> None:
+        held = io.BytesIO()
+        pq.write_table(pa.table(list(zip(*rows, strict=True)) if rows else [[]] * 5, schema=schema), held)
+        out = files.Writer(f"{folder}/part-{n // SLOT_ROWS:06d}.parquet")
+        out.write(held.getvalue())
+        out.close()
+        rows.clear()
+
+    for slot, (phase, s, k) in enumerate(placements(blocks, weights)):
+        rows.append((names[s], phase.first[s] + k, slot, *phase.window(s, k)))
+        n = slot
+        if len(rows) == SLOT_ROWS:
+            flush()
+    if rows or not n:
+        flush()
+    return scratch.spark.read.schema("t_source string, t_block long, slot long, release long, deadline long").parquet(folder)
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
@@ -126,8 +163,10 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
         ),
         "placed",
     )
-    # One row per source.
-    found = placed.groupBy("source").agg(F.max("block").alias("last"), F.sum(F.col("chars") * F.col("copies")).alias("chars")).collect()
+    # One row per source: the weights are a table of the driver.
+    found = placed.groupBy("source").agg(F.max("block").alias("last"), F.sum(F.col("chars") * F.col("copies")).alias("chars")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources; mix groups of them")
     names = sorted((r["source"] for r in found), key=lambda s: (s is not None, s))
     number = {s: k for k, s in enumerate(names)}
     blocks = {number[r["source"]]: r["last"] + 1 for r in found}
@@ -136,15 +175,8 @@ def schedule(docs: DataFrame, weights: dict[str | None, float] | None = None, bl
         target = {number[s]: weights.get(s, least) for s in names}
     else:
         target = {number[r["source"]]: float(max(1, r["chars"])) ** alpha for r in found}
-    plan = phases(blocks, target)
-    slots = [
-        (names[s], ph.first[s] + k, ph.base + t, ph.base + k * ph.period // ph.share[s], ph.base - (-(k + 1) * ph.period // ph.share[s]))
-        for ph in plan
-        for s, at in ph.slots.items()
-        for k, t in enumerate(at)
-    ]
-    slot_df = spark.createDataFrame(slots, "t_source string, t_block long, slot long, release long, deadline long")
-    full = placed.join(small_side(slot_df, len(slots)), placed["source"].eqNullSafe(slot_df["t_source"]) & (placed["block"] == slot_df["t_block"]))
+    slot_df, n_slots = _written(scratch, names, blocks, target), sum(blocks.values())
+    full = placed.join(small_side(slot_df, n_slots), placed["source"].eqNullSafe(slot_df["t_source"]) & (placed["block"] == slot_df["t_block"]))
     return full.select("doc_id", "source", "text_hash", "before", "chars", "copies", "block", "slot", "release", "deadline")
 
 

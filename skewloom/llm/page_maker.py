@@ -34,8 +34,8 @@ class Maker:
 
     def __init__(self, rnd: random.Random):
         self.r, self.out, self.labels = rnd, [], []
-        self.semantic = rnd.random() < 0.75
-        self.named = rnd.random() < 0.8
+        self.semantic = rnd.random() < 0.6
+        self.named = rnd.random() < 0.7
 
     def word(self) -> str:
         return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(1, 3)))
@@ -71,8 +71,17 @@ class Maker:
         self.out.append(f"<{tag}{attrs}>")
         return tag
 
+    def links(self) -> str:
+        """Links of one block, side by side."""
+        between = self.r.choice((" ", " | ", " &middot; ", "&nbsp;", ""))
+        return between.join(f'<a href="/{self.word()}">{self.phrase(1, 2, 0.5)}</a>' for _ in range(self.r.randint(2, 9)))
+
     def part(self, kind: str) -> None:
         tag = self.open(kind)
+        if kind in ("menu", "footer", "share") and self.r.random() < 0.25:
+            self.put(self.r.choice(("div", "p")), self.links(), False)
+            self.out.append(f"</{tag}>")
+            return
         if kind in ("menu", "related", "share") or kind in ("side", "header", "footer") and self.r.random() < 0.5:
             if kind != "menu" and self.r.random() < 0.5:
                 self.put(self.r.choice(("h2", "h3", "h4", "p")), self.phrase(1, 5, 0.4), False)
@@ -113,18 +122,20 @@ class Maker:
 
     def story(self) -> None:
         style = self.r.random()
-        if style < 0.45:
+        if style < 0.08:
+            close = start = ""
+        elif style < 0.42:
             close, start = "</article>", "<article>"
-        elif style < 0.6:
+        elif style < 0.55:
             close, start = "</main>", "<main>"
         else:
             close = "</div>"
-            start = f'<div {self.r.choice(("class", "id"))}="{self.r.choice(NAMES["main"])}">' if style < 0.92 else "<div>"
+            start = f'<div {self.r.choice(("class", "id"))}="{self.r.choice(NAMES["main"])}">' if style < 0.8 else "<div>"
         self.out.append(start)
         inside = self.r.random() < 0.3
         if inside:
             self.out.append(f'<div class="{self.r.choice(NAMES["main"])}">' if self.r.random() < 0.7 else "<section>")
-        kind = "</div>" if inside and "div" in self.out[-1] else "</section>"
+        kind = "</div>" if inside and self.out[-1].startswith("<div") else "</section>"
         if self.r.random() < 0.85:
             self.put(self.r.choice(("h1", "h1", "h2")), self.phrase(2, 12, stop=self.r.random() < 0.3), True)
         for _ in range(self.r.randint(1, self.r.choice((3, 6, 12, 12, 25, 50)))):
@@ -156,16 +167,27 @@ class Maker:
     def page(self) -> str:
         r = self.r
         self.out.append(f"<!DOCTYPE html><html><head><title>{self.phrase(2, 8)}</title><style>p{{margin:0}}</style></head><body>")
-        for kind, chance in (("notice", 0.25), ("header", 0.5), ("menu", 0.8), ("ad", 0.5), ("side", 0.25)):
-            if r.random() < chance:
-                self.part(kind)
-        self.story()
+        before = [("notice", 0.25), ("header", 0.5), ("menu", 0.8), ("ad", 0.5), ("side", 0.25)]
         after = [("share", 0.2), ("comments", 0.35), ("related", 0.3), ("side", 0.3), ("form", 0.25), ("ad", 0.3), ("notice", 0.1), ("menu", 0.15)]
         r.shuffle(after)
+        bare, cells = r.random() < 0.15, r.random() < 0.12
+        if cells:  # a page laid out as one table: links in its first row or column, the story in a cell
+            self.out.append(f'<table{r.choice(("", " border=0", " width=100%"))}><tr>')
+            self.put("td", self.links(), False)
+            self.out.append(r.choice(("<td>", "</tr><tr><td>")))
+        for kind, chance in before:
+            if r.random() < (chance / 4 if bare or cells else chance):
+                self.part(kind)
+        self.story()
+        if cells:
+            self.out.append("</td>")
+            if r.random() < 0.6:
+                self.put("td", r.choice((self.links(), self.phrase(2, 20, 0.3))), False)
+            self.out.append("</tr></table>")
         for kind, chance in after:
-            if r.random() < chance:
+            if r.random() < (chance / 4 if bare or cells else chance):
                 self.part(kind)
-        if r.random() < 0.85:
+        if r.random() < (0.3 if bare else 0.85):
             self.part("footer")
         if r.random() < 0.9:
             self.out.append("</body></html>")

@@ -23,48 +23,48 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+    return html_extract.extract(read_table(spark, sf_dir, "pages", spread=True))
 
 
 def op2_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages, scratch = read_table(spark, sf_dir, "pages"), Scratch(spark, "warc")
+    pages, scratch = read_table(spark, sf_dir, "pages", spread=True), Scratch(spark, "warc")
     found = warc.lookup(warc.index(scratch, warc.write(scratch, pages)), pages)
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("row")
+    return decontam.score(read_table(spark, sf_dir, "documents", spread=True), read_table(spark, sf_dir, "benchmark")).drop("row")
 
 
 def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.cluster(read_table(spark, sf_dir, "documents"))
+    found = simhash.cluster(read_table(spark, sf_dir, "documents", spread=True))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = mixing.schedule(read_table(spark, sf_dir, "documents"))
+    placed = mixing.schedule(read_table(spark, sf_dir, "documents", spread=True))
     each = placed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return each.select("doc_id", "source", "chars", "before", "block", "slot", "release", "deadline")
 
 
 def op6_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.passages(read_table(spark, sf_dir, "documents"))
+    return substring.passages(read_table(spark, sf_dir, "documents", spread=True))
 
 
 def op7_guess_cost_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.find(read_table(spark, sf_dir, "documents"))
+    return secrets.find(read_table(spark, sf_dir, "documents", spread=True), vocabulary=vocabulary())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(read_table(spark, sf_dir, "documents"), carry=False).drop("host")
+    return quality.score(read_table(spark, sf_dir, "documents", spread=True), carry=False).drop("host")
 
 
 def op9_minhash_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.find(read_table(spark, sf_dir, "documents"))
+    return licenses.find(read_table(spark, sf_dir, "documents", spread=True))
 
 
 def op10_sorted_string_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sstable.read(sstable.write(read_table(spark, sf_dir, "documents"), vocabulary()))
+    return sstable.read(sstable.write(read_table(spark, sf_dir, "documents", spread=True), vocabulary()))
 
 
 QUERIES |= {

@@ -9,8 +9,8 @@ File layout (little-endian): ``block*  index  bloom  footer``.
 Block: zlib of entries ``shared:u16 rest:u16 n:u32 key-rest ids`` with ids of the width in the footer.
 Index: per block ``offset:u64 size:u32 key-length:u16 key``; footer: see ``FOOTER``.
 
-The key is the identifier, sign-flipped and big-endian, then a sequence number that tells apart rows
-of one identifier and rows without one. A null identifier sorts first and is flagged in the key.
+The key is the identifier, sign-flipped and big-endian, then the number of the file and a sequence number, which tell
+apart rows of one identifier and rows without one; no key occurs twice. A null identifier sorts first and is flagged in the key.
 A null text is empty. Repeated rows are all stored; an empty table gives no file.
 """
 
@@ -40,7 +40,7 @@ MAGIC = b"SKWSST01"
 FOOTER = struct.Struct("<QQQQQQQ8s")
 ENTRY = struct.Struct("<HHI")
 INDEX = struct.Struct("<QIH")
-KEY = struct.Struct(">BQI")
+KEY = struct.Struct(">BQII")
 BLOCK_BYTES = 256 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 #: Text bytes that go into one file.
@@ -58,12 +58,12 @@ META = T.StructType(
 )
 
 
-def key_of(doc_id: int | None, seq: int) -> bytes:
-    return KEY.pack(doc_id is not None, 0 if doc_id is None else doc_id + (1 << 63), seq)
+def key_of(doc_id: int | None, shard: int, seq: int) -> bytes:
+    return KEY.pack(doc_id is not None, 0 if doc_id is None else doc_id + (1 << 63), shard, seq)
 
 
 def id_of(key: bytes) -> int | None:
-    known, number, _ = KEY.unpack(key)
+    known, number, *_ = KEY.unpack(key)
     return number - (1 << 63) if known else None
 
 
@@ -257,7 +257,7 @@ class TableReader:
     def may_have(self, doc_id: int | None) -> bool:
         if self.bloom is None:
             self.bloom = np.frombuffer(self.file.read_at(self.bloom_size, self.bloom_at), np.uint8)
-        h = np.array([xxhash.xxh64_intdigest(key_of(doc_id, 0)[:9])], np.uint64)
+        h = np.array([xxhash.xxh64_intdigest(key_of(doc_id, 0, 0)[:9])], np.uint64)
         at = _bits(h, self.bloom_size * 8)[0].astype(np.int64)
         return bool(((self.bloom[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all())
 
@@ -265,7 +265,7 @@ class TableReader:
         """The id arrays of all rows with this identifier."""
         if not self.may_have(doc_id):
             return []
-        low, high = key_of(doc_id, 0), key_of(doc_id, (1 << 32) - 1)
+        low, high = key_of(doc_id, 0, 0), key_of(doc_id, (1 << 32) - 1, (1 << 32) - 1)
         found, block = [], max(0, bisect.bisect_right(self.keys, low) - 1)
         while block < len(self.index) and self.keys[block] <= high:
             found += [ids for key, ids in self.entries(block) if low <= key <= high]
@@ -283,7 +283,7 @@ def _write(folder: str, vocab: str, end_id: int, id_bytes: int):
             for doc_id, ids in zip(b.column("sort_id").to_pylist(), _encoded(enc, b.column("text")), strict=True):
                 seq = seq + 1 if doc_id == before[0] and len(before) == 2 else 0
                 before = (doc_id, 0)
-                table.add(key_of(doc_id, seq), np.append(ids, end))
+                table.add(key_of(doc_id, shard, seq), np.append(ids, end))
         table.close()
         if table.docs:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [table.docs], "n_tokens": [table.tokens]})
@@ -334,8 +334,11 @@ def write(docs: DataFrame, vocab: str, end_id: int = 1, id_bytes: int = 2, id_co
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
     order = [F.col("sort_id").asc_nulls_first(), F.xxhash64("text")]
-    ranged = picked.repartitionByRange(shards, *(["file", "row"] if file_order else order)).sortWithinPartitions(*order)
-    return scratch.table(ranged.select("sort_id", "text").mapInArrow(_write(scratch.path("shards"), vocab, end_id, id_bytes), META), "manifest")
+    # The last term splits very many rows of one identifier and text.
+    ranged = picked.repartitionByRange(shards, *(["file", "row"] if file_order else [*order, F.rand(7)])).sortWithinPartitions(*order)
+    made = scratch.table(ranged.select("sort_id", "text").mapInArrow(_write(folder := scratch.path("shards"), vocab, end_id, id_bytes), META), "manifest")
+    files.sweep(folder)
+    return made
 
 
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long, shard int"

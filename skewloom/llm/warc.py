@@ -39,6 +39,8 @@ MIN_REVISIT = 1000
 BLOCK_LINES = 512
 #: An archive file is closed once it has so many bytes.
 FILE_BYTES = 512 << 20
+#: Archive bytes that one task of a lookup reads.
+TASK_BYTES = 32 << 20
 #: Captures that go into one index file.
 SHARD_CAPTURES = 200_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -139,10 +141,12 @@ def write(scratch: Scratch, pages: DataFrame, id_col: str = "page_id", url_col:
     met = digested.join(same, digested["digest"] == same["d_digest"], "left")
     to = F.when(~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
     ready = met.select("page_id", "url", "html", "digest", to.alias("refers_to"))
-    return scratch.table(ready.mapInArrow(_write(scratch.path("archives"), file_bytes), CAPTURES), "captures")
+    made = scratch.table(ready.mapInArrow(_write(folder := scratch.path("archives"), file_bytes), CAPTURES), "captures")
+    files.sweep(folder)
+    return made
 
 
-SHARDS = "path string, first string, last string, captures long"
+SHARDS = "path string, first string, last string, captures long, bytes long"
 
 
 def _tail(at: int, size: int) -> bytes:
@@ -152,7 +156,7 @@ def _tail(at: int, size: int) -> bytes:
 def _index(folder: str, block_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = f"{folder}/part-{TaskContext.get().partitionId():06d}.cdx"
-        out, block, directory, first, last, n = None, [], [], None, None, 0
+        out, block, directory, first, last, n, size = None, [], [], None, None, 0, 0
 
         def flush() -> None:
             packed = zlib.compress("\n".join(json.dumps(x, ensure_ascii=False) for x in block).encode(), 6)
@@ -163,7 +167,7 @@ def _index(folder: str, block_lines: int):
         for b in batches:
             for row in zip(*[b[c].to_pylist() for c in ("key", "page_id", "path", "offset", "length")], strict=True):
                 out = out or files.Writer(path)
-                first, last, n = row[0] if first is None else first, row[0], n + 1
+                first, last, n, size = row[0] if first is None else first, row[0], n + 1, size + row[4]
                 block.append(row)
                 if len(block) >= block_lines:
                     flush()
@@ -174,7 +178,7 @@ def _index(folder: str, block_lines: int):
             out.write(packed)
             out.write(_tail(at, len(packed)))
             out.close()
-            yield pa.RecordBatch.from_pydict({"path": [path], "first": [first], "last": [last], "captures": pa.array([n], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"path": [path], "first": [first], "last": [last], "captures": pa.array([n], pa.int64()), "bytes": pa.array([size], pa.int64())})
 
     return run
 
@@ -184,7 +188,9 @@ def index(scratch: Scratch, captures: DataFrame, shard_captures: int = SHARD_CAP
     order = ["key", "page_id", "path", "offset"]
     n = max(1, -(-captures.count() // shard_captures))
     ranged = captures.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return scratch.table(ranged.mapInArrow(_index(scratch.path("index"), block_lines), SHARDS), "shards")
+    made = scratch.table(ranged.mapInArrow(_index(folder := scratch.path("index"), block_lines), SHARDS), "shards")
+    files.sweep(folder)
+    return made
 
 
 class IndexFile:
@@ -215,6 +221,7 @@ class IndexFile:
 
 
 FOUND = "key string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, length long"
+PLACES = "key string, path string, offset long, length long"
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,41 +244,61 @@ def _route(firsts: list[str], lasts: list[str]):
     return run
 
 
-def _look(paths: list[str]):
+def _places(paths: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, archives = None, -1, OrderedDict()
-        names = [c.split()[0] for c in FOUND.split(", ")]
+        held, at = None, -1
         for b in batches:
             rows = []
             for key, shard in zip(b["key"].to_pylist(), b["shard"].to_pylist(), strict=True):
                 if shard != at:
                     held, at = IndexFile(paths[shard]), shard
                 for _, _, path, offset, length in held.find(key):
-                    if path not in archives:
-                        archives[path] = files.reader(path)
-                        if len(archives) > 64:
-                            archives.popitem(last=False)[1].close()
-                    got = parse(archives[path].read_at(length, offset))
-                    rows.append((key, *[got[c] for c in names[1:7]], path, offset, length))
-                    if len(rows) >= 2000:
-                        yield _found(rows, names)
+                    rows.append((key, path, offset, length))
+                    if len(rows) >= 10_000:
+                        yield _batch(rows, PLACES)
                         rows = []
             if rows:
-                yield _found(rows, names)
+                yield _batch(rows, PLACES)
 
     return run
 
 
-def _found(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    archives: OrderedDict = OrderedDict()
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    for b in batches:
+        rows = []
+        for key, path, offset, length in zip(*[b[c].to_pylist() for c in ("key", "path", "offset", "length")], strict=True):
+            if path not in archives:
+                archives[path] = files.reader(path)
+                if len(archives) > 64:
+                    archives.popitem(last=False)[1].close()
+            got = parse(archives[path].read_at(length, offset))
+            rows.append((key, *[got[c] for c in names[1:7]], path, offset, length))
+            if len(rows) >= 2000:
+                yield _batch(rows, FOUND)
+                rows = []
+        if rows:
+            yield _batch(rows, FOUND)
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     types = {"long": pa.int64(), "string": pa.string()}
-    kinds = [types[c.split()[1]] for c in FOUND.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    names, kinds = zip(*[c.split() for c in schema.split(", ")], strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=list(names))
+
 
+def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """All captures of the URLs, read from the archives' byte ranges. The list of index files is on the driver.
 
-def lookup(shards: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
-    """All captures of the URLs, read from the archives' byte ranges. The list of index files is on the driver."""
+    Index files are searched by as many tasks as there are files, so a key of very many captures is spread over all that hold
+    it; the records are then read by stretches of an archive, some ``task_bytes`` a task, whatever their keys.
+    """
     listed = sorted(shards.collect(), key=lambda r: r["path"])
     keys = urls.select(F.col(url_col).alias("url")).mapInArrow(_keys, "key string").distinct()
     routed = keys.mapInArrow(_route([r["first"] for r in listed], [r["last"] for r in listed]), "key string, shard int")
-    spread = routed.repartition("shard", F.substring(F.sha1("key"), 1, 1)).sortWithinPartitions("shard", "key")
-    return spread.mapInArrow(_look([r["path"] for r in listed]), FOUND)
+    spread = routed.repartition(max(1, len(listed)), "shard").sortWithinPartitions("shard", "key")
+    places = spread.mapInArrow(_places([r["path"] for r in listed]), PLACES)
+    n = max(1, -(-sum(r["bytes"] for r in listed) // task_bytes))
+    stretch = F.floor(F.col("offset") / (task_bytes // 4))
+    return places.repartition(n, F.col("path"), stretch).sortWithinPartitions("path", "offset").mapInArrow(_records, FOUND)

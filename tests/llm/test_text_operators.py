@@ -1,6 +1,7 @@
 """Quality, decontamination, near duplicates, licenses, secrets and passages against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import time
@@ -229,6 +230,117 @@ def test_whole_values():
             assert (secrets.guess_log10(value, limit) >= limit) == (whole >= limit)
 
 
+def test_vocabulary_words():
+    words = secrets.ranks(queries.vocabulary())
+    assert len(words) > 20_000 and words["password"] == 2 and words["with"] < words["presley"]
+    assert secrets.guess_log10("correcthorsebattery", words=words) < 16 < secrets.guess_log10("correcthorsebattery")
+    assert [k for k, *_ in secrets.scan("pwd: remember and secret: required", words)] == ["assign"] and secrets.scan("the password remembering is hard", words) == []
+    assert [k for k, *_ in secrets.scan("pwd: kqwzxjvbnmtr", words)] == ["guess"]
+
+
+def slow_guess(value, words):
+    """The cheapest segmentation by trying every segment from every place, with the segments' costs as they are defined."""
+    low, plain = value.lower(), "".join(secrets.SUBSTITUTES.get(c, c) for c in value.lower())
+    ok = lambda i, e, f: all(f(k) for k in range(i + 1, e))
+    apart = lambda k: ord(value[k]) - ord(value[k - 1])
+
+    def segment(i, e):
+        n = e - i
+        if n == 1:
+            yield secrets._space(value[i])
+            return
+        for said in (plain[i:e], low[i:e]):
+            if n > 2 and said in words:
+                yield 0.30103 + math.log10(words.get(plain[i:e]) or words[low[i:e]]) + 0.5 * sum(a != b for a, b in zip(plain[i:e], value[i:e], strict=True))
+        if 4 <= n <= 10 and secrets._DATE.fullmatch(value, i, e):
+            yield 0.30103 + math.log10(365 * 120)
+        base = 0.30103 + secrets._space(value[i]) + 0.7
+        if n >= 3 and ok(i, e, lambda k: value[k] == value[k - 1]):
+            yield base + 0.3 * math.log10(n)
+        if n >= 3 and abs(apart(i + 1)) == 1 and ok(i, e, lambda k: apart(k) == apart(i + 1)):
+            yield base + 0.5 * math.log10(n)
+        if n >= 4 and ok(i, e, lambda k: (low[k - 1], low[k]) in secrets._NEXT):
+            yield base + 0.6 * math.log10(n)
+        if n >= 2 and i >= n and value[i - n : i] == value[i:e]:
+            yield 0.30103 + math.log10(n + 1)
+
+    best = [0.0]
+    for e in range(1, len(value) + 1):
+        best.append(min((best[i] + min(segment(i, e), default=math.inf) for i in range(e)), default=math.inf))
+    return best[-1]
+
+
+def test_guess_cost_equals_exhaustive_search():
+    r, words = random.Random(8), secrets.ranks(None)
+    for _ in range(400):
+        value = "".join(r.choice(("a", "aaa", "123", "4321", "qwer", "password", "p4ss", "Zx9", "2024-01-15", "%", "love", "abcd", "%Zx9")) for _ in range(r.randint(1, 6)))[:40]
+        assert secrets.guess_log10(value, words=words) == pytest.approx(slow_guess(value, words), abs=1e-4), value
+
+
+def test_long_repeats():
+    r = random.Random(2)
+    block = "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(70))
+    assert secrets.guess_log10(block * 2) < secrets.guess_log10(block) + 3
+    for k in range(60):
+        value = block[: r.randint(3, 60)] * r.randint(1, 3) + block[: r.randint(0, 5)]
+        for limit in (3.0, 10.0, 40.0):
+            assert (secrets.guess_log10(value, limit) >= limit) == (secrets.guess_log10(value) >= limit)
+
+
+def base_spans(text):
+    """The three kinds, scanned place by place."""
+    found, low = [], text.lower()
+    names = ("password", "passwd", "secret", "token", "api_key", "apikey")
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    i = 0
+    while i < len(text):
+        name = next((n for n in names if text[i : i + len(n)].isascii() and low[i : i + len(n)] == n), None)
+        best = None
+        if name:
+            for quote in (1, 0):
+                j = i + len(name) + (quote if text[i + len(name) : i + len(name) + 1] in ('"', "'") else 0)
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] in (":", "=") and text[j : j + 1]:
+                    j += 1
+                    while text[j : j + 1] == " ":
+                        j += 1
+                    j += text[j : j + 1] in ('"', "'") and text[j : j + 1] != ""
+                    e = j
+                    while e < len(text) and text[e] in value:
+                        e += 1
+                    if e > j:
+                        best = (j, e)
+                        break
+        if best:
+            if best[1] - best[0] >= 8:
+                found.append(("assign", i, best[1]))
+            i = best[1]
+        else:
+            i += 1
+    for kind, head, chars, least in (("access", "AKIA", set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16), ("hex", "", set("0123456789abcdef"), 32)):
+        i = 0
+        while i < len(text):
+            e = i + len(head)
+            while text.startswith(head, i) and e < len(text) and text[e] in chars:
+                e += 1
+            if text.startswith(head, i) and e > i + len(head):
+                if e - i >= least:
+                    found.append((kind, i, e))
+                i = e
+            else:
+                i += 1
+    return sorted(found, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
+
+
+def test_base_spans_equal_a_plain_scan():
+    r = random.Random(6)
+    parts = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", "api-key", '"', "'", " ", "  ", ":", "=", "abcd", "Ab9/+=", "x" * 9, "AKIA", "AKIAZ9Z9Z9Z9Z9Z9", "0f" * 16, "0f", "é", "K", "\n", "g", "ſecret"]
+    for _ in range(4000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(1, 14)))
+        assert [x for x in secrets.scan(text) if x[0] != "guess"] == base_spans(text), text
+
+
 def test_long_hostile_texts():
     for t in ("a" * 200_000, "password" * 20_000, "token=" * 30_000, "AKIA" * 40_000, "pass " * 40_000):
         secrets.scan(t)
