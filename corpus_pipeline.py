@@ -2,7 +2,7 @@
 
 Every stage gets what the one before it kept, as Parquet that is read again, and works on all of it.
 
-1. quality: documents that the quality rules reject go.
+1. quality: documents that the quality rules reject go, and boilerplate lines of the others.
 2. near duplicates: one document of each SimHash component stays.
 3. decontamination: documents with a benchmark window go.
 4. mixing: all documents are put in the order of the Pfair schedule of their sources.
@@ -57,7 +57,7 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
     scratch = Scratch(spark, "pipeline")
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents", spread=True)
     for name, stage in STAGES:
         docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
