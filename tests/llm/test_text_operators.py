@@ -401,6 +401,26 @@ def test_sharers_of_frequent_lines_are_connected(docs_of, prose):
     assert all(g.n_same >= 60 for g in got if g.doc_id in (51, 52))
 
 
+@pytest.mark.parametrize("period", [1, 2, 5, 6, 7])
+def test_runs_of_few_words_are_covered(docs_of, prose, period):
+    run = [f"again{k}" for k in range(period)]
+    lengths = {1: 120, 2: 400, 3: 260, 4: 70}
+    rows = [(k, f"{prose(60, 800 + k)} {' '.join((run * n)[:n])} {prose(60, 900 + k)}", "s") for k, n in lengths.items()]
+    got = substring.passages(docs_of(rows)).collect()
+    for k, n in lengths.items():
+        seen = {x for g in got for i, s, e in ((g.doc_id, g.start, g.end), (g.partner_id, g.partner_start, g.partner_end)) if i == k for x in range(s, e)}
+        assert set(range(60, 60 + n)) <= seen
+    # A row for each repeat would be 275 in the longest run of pairs alone.
+    assert len(got) < 40 * period
+
+
+def test_seeds_of_runs():
+    at = lambda words: [int(x) for x in substring.placed_seeds(np.array(words, np.uint32))[0]]
+    every, few = [int(x) for x in substring.seeds(np.array([1, 2] * 50, np.uint32))[0]], at([1, 2] * 50)
+    assert len(every) == 48 and few == [every[0], every[-1]]
+    assert len(at(list(range(7)) * 20)) == len(substring.seeds(np.array(list(range(7)) * 20, np.uint32))[0])
+
+
 def test_every_place_in_a_document_is_reported(docs_of, prose):
     # The copies differ in every twenty-fifth word, so no window of 50 words is equal.
     words, copies = prose(120, 31).split(), []
