@@ -414,6 +414,19 @@ def test_runs_of_few_words_are_covered(docs_of, prose, period):
     assert len(got) < 40 * period
 
 
+def test_no_shared_window_is_missed():
+    r, found = np.random.default_rng(5), 0
+    for k in range(60):
+        parts = [r.integers(0, 3 if k % 3 else 5000, n, np.uint32) for n in (50, 51, 65, 200)]
+        a, b = (np.concatenate([x for p in r.permutation(4) for x in (r.integers(0, 5000, 40, np.uint32), parts[p])]) for _ in range(2))
+        linked = np.intersect1d(substring.seeds(a)[1], substring.seeds(b)[1])
+        both = np.intersect1d(substring.grams(a, substring.MIN_WORDS), substring.grams(b, substring.MIN_WORDS))
+        found += len(both)
+        for x in (a, b):
+            assert set(both.tolist()) <= set(substring.shared_windows(x, linked)[1].tolist())
+    assert found > 1000
+
+
 def test_seeds_of_runs():
     at = lambda words: [int(x) for x in substring.placed_seeds(np.array(words, np.uint32))[0]]
     every, few = [int(x) for x in substring.seeds(np.array([1, 2] * 50, np.uint32))[0]], at([1, 2] * 50)
