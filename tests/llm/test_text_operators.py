@@ -427,6 +427,15 @@ def test_no_shared_window_is_missed():
     assert found > 1000
 
 
+def test_copies_link_to_their_first(docs_of, prose):
+    text, other, short = prose(90, 21), prose(120, 22), prose(30, 23)
+    rows = [(k, text, "s") for k in (9, 4, 7, 7, 30)] + [(1, f"{other} {text} {prose(40, 24)}", "s"), (30, other, "s"), (2, f"\t {short}", "s"), (3, f"\t {short}", "s")]
+    got = {tuple(g) for g in substring.passages(docs_of(rows)).collect()}
+    assert {(k, 0, 90, 4, 0, 90, 90) for k in (7, 9, 30)} <= got
+    assert {(g[0], g[3]) for g in got} == {(7, 4), (9, 4), (30, 4), (4, 1), (30, 1)}
+    assert (4, 0, 90, 1, 120, 210, 90) in got and (30, 0, 120, 1, 0, 120, 120) in got
+
+
 def test_seeds_of_runs():
     at = lambda words: [int(x) for x in substring.placed_seeds(np.array(words, np.uint32))[0]]
     every, few = [int(x) for x in substring.seeds(np.array([1, 2] * 50, np.uint32))[0]], at([1, 2] * 50)
