@@ -452,3 +452,51 @@ def test_every_place_in_a_document_is_reported(docs_of, prose):
     got = substring.passages(docs_of([(1, f"{copies[4]} {prose(100, 70)}", "s"), (2, inside, "s")])).collect()
     places = [(100 + 220 * c, 220 + 220 * c) for c in range(4)]
     assert all(any(g.doc_id == 2 and abs(g.start - s) < 30 and abs(g.end - e) < 30 for g in got) for s, e in places)
+
+
+@pytest.mark.parametrize("holders", [2, 40])
+def test_sharers_of_common_pieces_are_connected(docs_of, prose, holders):
+    # Every twelfth word is changed, so no window of 50 words is equal, and each piece between is in texts before and after.
+    pieces = [prose(11, 80 + k) for k in range(8)]
+    fuzzy = lambda c: " ".join(f"{p} changed{c}x{k}" for k, p in enumerate(pieces))
+    ids = [*range(0, 4 * holders, 8), *range(900, 900 + 4 * holders, 8)]
+    rows = [(i + k, f"{prose(60, 5000 + i + k)} {p} {prose(60, 50_000 + i + k)}", "s") for k, p in enumerate(pieces) for i in ids]
+    rows += [(500 + c, f"{prose(70, 100 + c)} {fuzzy(c)} {prose(70, 200 + c)}", "s") for c in range(4)]
+    got = substring.passages(docs_of(rows)).collect()
+    pairs = {(g.doc_id, g.partner_id) for g in got}
+    assert {x for p in pairs for x in p} == {500, 501, 502, 503}
+    assert len(pairs) == 6 if holders == 2 else len(pairs) >= 3
+    assert all(g.n_same >= 77 and g.start <= 75 and g.end >= 150 for g in got)
+
+
+def test_one_seed_is_enough(docs_of, prose):
+    # Of the six-word grams only those between two changed words are equal.
+    r, found = random.Random(8), 0
+    words = [f"w{k}" for k in range(60)]
+    for k in range(12):
+        a, b = list(words), list(words)
+        for c in range(2, 60, 8):
+            b[c] = f"changed{c}"
+        rows = [(1, f"{prose(80, 300 + k)} {' '.join(f'{x}n{k}' for x in a)} {prose(80, 400 + k)}", "s"), (2, f"{prose(r.randrange(40, 90), 500 + k)} {' '.join(f'{x}n{k}' for x in b)} {prose(80, 600 + k)}", "s")]
+        found += len(substring.passages(docs_of(rows)).collect()) > 0
+    assert found >= 6
+
+
+def test_alike_places_of_a_seed():
+    r = np.random.default_rng(4)
+    base, n = r.integers(0, 1 << 32, 200, np.uint32), substring.AROUND
+    def text(changed: list[int], cut: int = -1) -> np.ndarray:
+        x = base.copy()
+        x[changed] = r.integers(0, 1 << 32, len(changed), np.uint32)
+        return np.delete(x, cut) if cut >= 0 else x
+    at = lambda x, k: substring.contexts(x, np.array([k]))
+    every = [k for k in range(200) if k % 8 == 4 and not 96 <= k < 102]
+    assert substring.alike(at(base, 96), at(text(every), 96)).all() and substring.alike(at(base, 96), at(text(every, 90), 95)).all()
+    far = [*range(60, 92), *range(106, 140)]
+    assert not substring.alike(at(base, 96), at(text(far), 96)).any()
+    # A text that ends at the seed has the words before it only.
+    assert substring.alike(at(base, 96), at(base[:102], 96)).all() and not substring.alike(at(base, 96), at(base[96:102], 0)).any()
+    around = np.concatenate([at(text([k]), 96) for k in range(60, 90)] + [at(r.integers(0, 9999, 200, np.uint32), 96)])
+    u, v = substring.forest(np.arange(31), around)
+    assert len(u) == 29 and 30 not in set(u.tolist() + v.tolist()) and around.shape[1] == 2 * n + substring.K
+    assert len(substring.forest(np.zeros(31, np.int64), around)[0]) == 0
