@@ -41,6 +41,8 @@ MAX_BITS = 4
 #: Members of a key's group that are compared in one piece.
 CHUNK = 4096
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
+#: Identifiers alone are broadcast up to this number.
+BROADCAST_IDS = 2_000_000
 #: Fingerprints whose keys one task makes.
 PRINTS_PER_TASK = 20_000
 #: Hashes whose bits are counted at a time.
@@ -190,8 +192,12 @@ def keep(docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(docs.sparkSession, "simhash-keep")
     named = cluster(docs)
-    first = scratch.table(named.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("k_id")).agg(F.count("*").alias("copies")), "first")
-    once, more = first.where("copies = 1"), first.where("copies > 1")
-    out = docs.join(once, docs["doc_id"] == once["k_id"], "left_semi")
-    out = out.unionByName(docs.where(F.col("doc_id").isNull()))
-    return out.unionByName(docs.join(more, docs["doc_id"] == more["k_id"], "left_semi").dropDuplicates(["doc_id"]))
+    copies = F.count_if(F.col("doc_id") == F.col("component_id"))
+    odd = scratch.table(named.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("k_id")).agg(copies.alias("copies")).where("copies <> 1"), "odd")
+    n, n_more = odd.agg(F.count("*"), F.count_if(F.col("copies") > 1)).first()
+    # The ids that go are fewer than those that stay: within the bound the texts are not shuffled.
+    out = docs.join(small_side(odd.select("k_id"), n, BROADCAST_IDS), docs["doc_id"] == odd["k_id"], "left_anti")
+    if not n_more:
+        return out
+    more = small_side(odd.where("copies > 1").select("k_id"), n_more, BROADCAST_IDS)
+    return out.unionByName(docs.join(more, docs["doc_id"] == odd["k_id"], "left_semi").dropDuplicates(["doc_id"]))

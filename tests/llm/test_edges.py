@@ -67,3 +67,17 @@ def test_null_values(spark, docs_of, odd_rows):
     assert x[1].spans == "" and x[1].n_assign == 0
     assert licenses.find(docs).count() == 0
     assert {r.doc_id for r in substring.passages(docs).collect()} <= {4, 6}
+
+
+def test_near_duplicate_texts_are_not_shuffled(spark, docs_of):
+    words = lambda k: " ".join(f"w{k}n{c}" for c in range(30))
+    rows = [(k, words(k % 40), "s") for k in range(60)] + [(None, words(90), "s"), (3, words(3), "s")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = simhash.keep(docs_of(rows))
+        plan = kept._jdf.queryExecution().toString()
+        assert sorted((r.doc_id is None, r.doc_id) for r in kept.where("doc_id IS NOT NULL").collect()) == [(False, k) for k in range(40)]
+        assert kept.where("doc_id IS NULL").count() == 1 and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
