@@ -5,9 +5,11 @@ import math
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -500,3 +502,104 @@ def test_alike_places_of_a_seed():
     u, v = substring.forest(np.arange(31), around)
     assert len(u) == 29 and 30 not in set(u.tolist() + v.tolist()) and around.shape[1] == 2 * n + substring.K
     assert len(substring.forest(np.zeros(31, np.int64), around)[0]) == 0
+
+
+def test_long_grams_are_the_plain_polynomial():
+    h = np.random.default_rng(6).integers(0, 1 << 32, 120, np.uint32)
+    for k in (1, 2, 3, 6, 50, 120):
+        g = np.zeros(len(h) - k + 1, np.uint64)
+        for c in range(k):
+            g = g * np.uint64(0x9E3779B97F4A7C15) + h[c : c + len(g)]
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            g = (g ^ (g >> np.uint64(shift))) * np.uint64(by)
+        assert (substring.grams(h, k) == g ^ (g >> np.uint64(31))).all()
+
+
+def edited_pairs(n: int) -> pa.RecordBatch:
+    """Pairs of texts of few and of many words, the second edited, and all their equal seeds as links; ``a_words`` and so on as for alignment."""
+    r = np.random.default_rng(12)
+    cols: dict[str, list] = {c: [] for c in ("doc", "partner", "ats", "tos", "ons", "nears", "a_low", "b_low", "a_words", "b_words")}
+    for k in range(n):
+        a = r.integers(0, 8 if k % 4 == 0 else 60 if k % 4 == 1 else 5000, r.integers(60, 400)).astype(np.uint32)
+        b = a.copy()
+        b[r.integers(0, len(b), r.integers(0, len(b) // 8))] = r.integers(6000, 9000)
+        if k % 3 == 0:
+            b = np.delete(b, r.integers(0, len(b), 3))
+        if k % 5 == 0:  # a far place
+            b = np.concatenate([b[: len(b) // 2], r.integers(9000, 9999, 90).astype(np.uint32), b[len(b) // 2 :]])
+        (p, g), (q, h) = substring.seeds(a), substring.seeds(b)
+        i, j = np.nonzero(g[:, None] == h)
+        if not len(i):
+            continue
+        ons = np.zeros(len(i), np.int32)
+        for x, (u, v) in enumerate(zip(p[i], q[j], strict=True)):
+            if x % 7 == 0 and len(a) - u >= 50 and len(b) - v >= 50 and (a[u : u + 50] == b[v : v + 50]).all():
+                ons[x] = 44
+        values = (2 * k, k, p[i].astype(np.int32), q[j].astype(np.int32), ons, r.random(len(i)) < 0.5, 0, 0, a.tobytes(), b.tobytes())
+        for c, v in zip(cols.values(), values, strict=True):
+            c.append(v)
+    kinds = [pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * 3, pa.list_(pa.bool_()), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)], names=list(cols))
+
+
+def listed(batches) -> list[tuple]:
+    return sorted(tuple(map(str, r.values())) for b in batches for r in b.to_pylist())
+
+
+def test_chains_in_step_are_those_of_the_tree(monkeypatch):
+    batch = edited_pairs(120)
+    found = list(substring._chain_rows(iter([batch])))
+    monkeypatch.setattr(substring, "FAR", -1)
+    monkeypatch.setattr(substring, "_in_step", lambda at, to: False)
+    assert listed(found) == listed(substring._chain_rows(iter([batch]))) and len(listed(found)) > 120
+    # A slice gives the rows of the whole.
+    assert listed(substring._chain_rows(iter([batch.slice(0, 50), batch.slice(50)]))) == listed(found)
+
+
+def test_straight_alignment_is_the_general_one(monkeypatch):
+    batch = edited_pairs(120)
+    texts = {d: (a, b) for d, a, b in zip(*(batch[c].to_pylist() for c in ("doc", "a_words", "b_words")), strict=True)}
+    made = pa.Table.from_batches(substring._chain_rows(iter([batch])))
+    docs = made["doc"].to_pylist()
+    zero = pa.array([0] * len(docs), pa.int32())
+    for c, v in (("a_low", zero), ("b_low", zero), ("a_words", pa.array([texts[d][0] for d in docs])), ("b_words", pa.array([texts[d][1] for d in docs]))):
+        made = made.append_column(c, v)
+    found = listed(substring._align_rows(iter(made.to_batches())))
+    monkeypatch.setattr(substring, "_straight_ends", lambda *x: None)
+    assert found == listed(substring._align_rows(iter(made.to_batches()))) and len(found) > 60
+
+
+def test_plain_pairs_take_the_short_way(monkeypatch, prose):
+    def never(*args, **kwargs):
+        raise AssertionError("not needed here")
+
+    for name in ("chains", "SequenceMatcher"):
+        monkeypatch.setattr(substring, name, never)
+    a = np.arange(300, dtype=np.uint32)
+    b = a.copy()
+    b[[30, 31, 100, 104]] = 999
+    links = [[0, 40, 80, 110, 160, 200, 250]]
+    lists = [pa.array(links, pa.list_(pa.int32()))] * 2
+    pairs = pa.RecordBatch.from_arrays([pa.array([2]), pa.array([1]), *lists, pa.array([[0] * 7], pa.list_(pa.int32())), pa.array([[True] * 7])], names=["doc", "partner", "ats", "tos", "ons", "nears"])
+    (chained,) = substring._chain_rows(iter([pairs]))
+    assert chained.to_pylist() == [{"doc": 2, "partner": 1, "ats": links[0], "tos": links[0]}]
+    low = pa.array([0], pa.int32())
+    ready = pa.RecordBatch.from_arrays([*chained.columns, low, low, pa.array([a.tobytes()]), pa.array([b.tobytes()])], names=[*chained.schema.names, "a_low", "b_low", "a_words", "b_words"])
+    (got,) = substring._align_rows(iter([ready]))
+    assert [tuple(r.values()) for r in got.to_pylist()] == [(2, 0, 300, 1, 0, 300, 296)]
+    # All documents of a batch go to one batch of windows and seeds.
+    texts = [prose(90, k) for k in range(20)]
+    place = [[{"seed": int(s), "at": int(p), "n": 2} for p, s in zip(*(x.astype(np.int64) for x in substring.seeds(substring.word_hashes(t.encode()))), strict=True)] for t in texts]
+    kind = pa.list_(pa.struct([("seed", pa.int64()), ("at", pa.int32()), ("n", pa.int64())]))
+    asked = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(place, kind), pa.array(texts)], names=["doc_id", "places", "text"])
+    (made,) = substring._window_rows(iter([asked]))
+    assert [made["n"].to_pylist().count(k) for k in (0, 2)] == [20 * 41, sum(map(len, place))]
+
+
+def test_large_gaps_are_not_compared_in_full():
+    x, y = np.full(1000, 1, np.uint32), np.full(1000, 2, np.uint32)
+    x[500:], y[500:] = 3, 4
+    tracemalloc.start()
+    assert substring._blocks(x, y) == []
+    assert tracemalloc.get_traced_memory()[1] < 500_000
+    tracemalloc.stop()
