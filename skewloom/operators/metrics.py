@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skewloom.session import Scratch
 
 from .graph import Graph
+from .pairs import hop_sums, small_rows
 from .traversal import all_levels, bfs
 
 
@@ -33,12 +34,23 @@ def is_connected(graph: Graph, source: int) -> DataFrame:
     return missed.agg(F.count("*").alias("unreached")).select((F.col("unreached") == 0).alias("connected"), "unreached")
 
 
+def _hops(scratch: Scratch, graph: Graph) -> DataFrame:
+    """``v hops pairs``: the sum of hops to each vertex from all others that reach it, and how many do; absent if none does.
+
+    Only a graph that does not fit in the memory of a task takes a row for each pair.
+    """
+    rows = small_rows(scratch, graph)
+    if rows is not None:
+        return hop_sums(scratch, rows, graph.vertices)
+    _, state = all_levels(scratch, graph, graph.vertices)
+    return state.where("s <> v").groupBy("v").agg(F.sum("level").alias("hops"), F.count("*").alias("pairs"))
+
+
 def characteristic_path_length(graph: Graph) -> DataFrame:
     """One row ``path_length``: mean hops over ordered pairs of vertices; null if some pair is not connected."""
     scratch = Scratch(graph.edges.sparkSession, "path-length")
-    _, state = all_levels(scratch, graph, graph.vertices)
     n = graph.vertices.count()
-    sums = state.where("s <> v").agg(F.sum("level").alias("hops"), F.count("*").alias("pairs"))
+    sums = _hops(scratch, graph).agg(F.sum("hops").alias("hops"), F.sum("pairs").alias("pairs"))
     return sums.select(F.when((F.col("pairs") == n * (n - 1)) & (F.col("pairs") > 0), F.col("hops") / F.col("pairs")).alias("path_length"))
 
 
@@ -86,9 +98,8 @@ def small_world_trials(spark: SparkSession, n: int, degree: int, p: float, trial
     parts = scratch.table(parts, "parts")
     apart = parts.select("trial", (F.col("src") + F.col("trial") * n).alias("src"), (F.col("dst") + F.col("trial") * n).alias("dst"))
     whole = Graph(spark.range(n * (trials + 1)).select("id"), apart).symmetrize()
-    _, state = all_levels(scratch, whole, whole.vertices)
     part = lambda c: F.floor(F.col(c) / n).cast("long").alias("trial")
-    hops = state.where("s <> v").groupBy(part("s")).agg(F.sum("level").alias("hops"), F.count("*").alias("pairs"))
+    hops = _hops(scratch, whole).groupBy(part("v")).agg(F.sum("hops").alias("hops"), F.sum("pairs").alias("pairs"))
     length = hops.select(F.col("trial").alias("l_trial"), F.when(F.col("pairs") == n * (n - 1), F.col("hops") / F.col("pairs")).alias("path"))
     cluster = clustering(whole).groupBy(part("id")).agg(F.avg("coefficient").alias("cluster"))
     kept = parts.join(lattice.select(F.col("src").alias("a"), F.col("dst").alias("b")), (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left")

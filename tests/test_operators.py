@@ -114,6 +114,17 @@ def test_betweenness_without_a_table_of_pairs(spark, monkeypatch):
         assert {x.id: x.bc for x in traversal.betweenness(g, strategy=strategy).collect()} == pytest.approx(dict(enumerate(want)))
 
 
+def test_path_length_without_a_table_of_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    e = [(k, (k + 1) % 90) for k in range(90)] + [(r.randrange(90), r.randrange(90)) for k in range(120)]
+    edges = spark.createDataFrame(e, "src long, dst long")
+    far = [hops(e, s) for s in range(90)]
+    monkeypatch.setattr(metrics, "all_levels", no_pairs)
+    found = metrics.characteristic_path_length(Graph(spark.range(90).select("id"), edges)).first().path_length
+    assert found == pytest.approx(sum(sum(f.values()) for f in far) / (90 * 89))
+    assert metrics.characteristic_path_length(Graph(spark.range(91).select("id"), edges)).first().path_length is None
+
+
 def test_walks_over_several_sources(monkeypatch):
     r = random.Random(9)
     e = sorted((r.randrange(200), r.randrange(200), 1) for _ in range(500))
