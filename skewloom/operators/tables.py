@@ -52,22 +52,24 @@ def work_arithmetic(data: Column, steps: Column | int) -> Column:
 def nested_work(rows: DataFrame, work: Column | None = None, strategy: str = "auto", threshold: int = THRESHOLD, salts: int = SALTS) -> DataFrame:
     """``idx rst``: the sum of ``work`` over ``iter`` turns of each row ``idx iter data``; unit work by default.
 
-    ``auto`` multiplies, as a turn does not depend on its number. ``salt`` makes a row of every turn and sums them, which is
-    the shape of a nested loop, with the turns of one row spread over ``salts`` groups. ``degree_split`` does so for rows with
-    more turns than ``threshold`` and multiplies for the others. ``idx`` is a key.
+    ``auto`` multiplies, as a turn does not depend on its number. ``salt`` adds up turn by turn, which is the shape of a nested loop:
+    rows of up to ``threshold`` turns where they are, the others in pieces of so many turns, which are dealt out by row and one of
+    ``salts`` numbers. ``degree_split`` does so for rows with more turns and multiplies for the others. ``idx`` is a key.
     """
-    work = F.lit(1.0) if work is None else work
+    work, most = F.lit(1.0) if work is None else work, max(1, threshold)
     if strategy == "auto":
         return rows.select("idx", (F.greatest(F.col("iter"), F.lit(0)) * work).cast("double").alias("rst"))
-    if strategy == "degree_split":
-        light = nested_work(rows.where(F.col("iter") <= threshold), work)
-        return light.unionByName(nested_work(rows.where(F.col("iter") > threshold), work, "salt", salts=salts))
-    if strategy != "salt":
+    if strategy not in ("degree_split", "salt"):
         raise ValueError("strategy must be auto, degree_split or salt")
-    turns = F.when(F.col("iter") > 0, F.sequence(F.lit(1), F.col("iter"))).otherwise(F.array().cast("array<int>"))
-    each = rows.select("idx", work.alias("w"), F.explode_outer(turns).alias("turn"))
-    part = each.groupBy("idx", F.pmod(F.coalesce("turn", F.lit(0)), F.lit(salts)).alias("salt")).agg(F.sum(F.when(F.col("turn").isNotNull(), F.col("w")).otherwise(0.0)).alias("w"))
-    return part.groupBy("idx").agg(F.sum("w").alias("rst"))
+    # A turn's value is found once for a row; no turn becomes a row of its own.
+    turns = lambda value, n: F.aggregate(F.array_repeat(value, F.greatest(n, F.lit(0))), F.lit(0.0), lambda so_far, w: so_far + w)
+    light, heavy = rows.where(F.coalesce(F.col("iter") <= most, F.lit(True))), rows.where(F.col("iter") > most)
+    few = nested_work(light, work) if strategy == "degree_split" else light.select("idx", turns(work.cast("double"), F.col("iter")).alias("rst"))
+    pieces = F.explode(F.sequence(F.lit(0), F.ceil(F.col("iter") / most).cast("int") - 1))
+    cut = heavy.select("idx", "iter", work.cast("double").alias("w"), pieces.alias("piece"))
+    dealt = cut.select("idx", "w", F.least(F.lit(most), F.col("iter") - F.col("piece") * most).cast("int").alias("n"), F.pmod("piece", F.lit(salts)).alias("salt")).repartition("idx", "salt")
+    many = dealt.select("idx", turns(F.col("w"), F.col("n")).alias("w")).groupBy("idx").agg(F.sum("w").alias("rst"))
+    return few.unionByName(many)
 
 
 def nested_work_udf(rows: DataFrame, work: Callable[[float, int], float]) -> DataFrame:

@@ -239,6 +239,16 @@ def test_nested_work(spark):
         assert {r.idx: r.rst for r in tables.nested_work(rows, work, form, 2, salts).collect()} == want
 
 
+def test_nested_work_makes_no_row_of_a_turn(spark):
+    n = 2_000_000
+    rows = spark.createDataFrame([(0, n, 0.5), (1, 7, 2.0), (2, None, 3.0)], "idx long, iter int, data double")
+    for form, threshold in (("salt", 1000), ("degree_split", 5)):
+        found = tables.nested_work(rows, rows["data"], form, threshold, 4)
+        assert {r.idx: r.rst for r in found.collect()} == {0: 0.5 * n, 1: 14.0, 2: 0.0}
+    made = tables.nested_work(spark.range(1000).selectExpr("id AS idx", "900 AS iter", "1D AS data"), strategy="salt")
+    assert "turn" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_numbering_over_ranges(spark, monkeypatch):
     import skewloom.plans.ordering as o
 
