@@ -25,11 +25,19 @@ class Loaded:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line value``: the lines of a file with their number from 0."""
+    """``line value``: the lines of a file with their number from 0.
+
+    Row ids are consecutive inside a split, and splits of a file begin at growing offsets, so a line's number is its id and a number
+    of its split: lines are neither moved nor sorted.
+    """
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("k"))
-    # Row ids grow inside a split and splits of a file begin at growing offsets.
-    kept = Scratch(spark, "lines")
-    return numbered(kept, kept.table(raw, "raw"), [F.col("f"), F.col("at"), F.col("k")], "line").select("line", "value")
+    kept = Scratch(spark, "lines").table(raw, "raw")
+    total, shifts = 0, []
+    for s in sorted(kept.groupBy("f", "at").agg(F.min("k").alias("first"), F.count("*").alias("n")).collect()):
+        shifts.append((s["f"], s["at"], total - s["first"]))
+        total += s["n"]
+    shift = F.broadcast(spark.createDataFrame(shifts, "s_f string, s_at long, shift long"))
+    return kept.join(shift, (F.col("f") == F.col("s_f")) & (F.col("at") == F.col("s_at"))).select((F.col("k") + F.col("shift")).alias("line"), "value")
 
 
 def _fields() -> Column:

@@ -261,6 +261,15 @@ def test_numbering_over_ranges(spark, monkeypatch):
     assert {r.k: r.s for r in numbered(Scratch(spark, "n"), df, [F.col("k")], "s", F.col("v")).collect()} == sums
 
 
+def test_numbering_needs_no_window(spark, monkeypatch):
+    import skewloom.plans.ordering as o
+
+    monkeypatch.setattr(o, "RANGE_ROWS", 7)
+    made = numbered(Scratch(spark, "n"), spark.range(60).selectExpr("(id * 37) % 60 AS k"), [F.col("k").desc()], "n")
+    assert sorted((r.n, r.k) for r in made.collect()) == [(k, 59 - k) for k in range(60)]
+    assert "Window" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty_graph(spark):
     g = Graph(spark.range(0).select("id"), spark.createDataFrame([], "src long, dst long, weight long, pos long"))
     assert traversal.coloring(g).count() == 0 and linear.pagerank(g).count() == 0 and traversal.betweenness(g).count() == 0

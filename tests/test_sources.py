@@ -65,6 +65,25 @@ def test_round_trips(spark, tmp_path):
     assert pairs(x.graph) == pairs(g)
 
 
+def test_lines_are_numbered_where_they_are(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    want = [f"{f} {'x' * (k % 40)} {k}" for f in "ab" for k in range(400)]
+    for f in "ab":
+        (tmp_path / "in" / f).write_text("\n".join(x for x in want if x[0] == f) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in (("spark.sql.files.maxPartitionBytes", "900"), ("spark.sql.files.openCostInBytes", "1")):
+            spark.conf.set(k, v)
+        rows = readers.lines(spark, str(tmp_path / "in"))
+        assert [r.value for r in sorted(rows.collect())] == want and sorted(r.line for r in rows.collect()) == list(range(800))
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan and "Sort" not in plan
+    assert readers.lines(spark, put(tmp_path, "")).count() == 0
+
+
 def test_reports(spark):
     v = spark.range(2).select("id")
     lines = lambda df: [r.value for r in df.collect()]
