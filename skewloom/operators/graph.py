@@ -39,7 +39,8 @@ class Graph:
 
     def dangling(self) -> DataFrame:
         """Vertices without an out-edge."""
-        return self.vertices.join(self.edges, self.vertices["id"] == self.edges["src"], "left_anti")
+        sources = self.edges.select("src").distinct()
+        return self.vertices.join(sources, self.vertices["id"] == sources["src"], "left_anti")
 
     def multiplicity(self) -> DataFrame:
         """``src dst n``: parallel edges as counts."""

@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import re
 from collections import deque
 
 import numpy as np
@@ -189,6 +190,23 @@ def test_walks(graph, edges):
     assert {(r.src, r.dst): r.n for r in linear.walks(graph, 2).collect()} == want
 
 
+def test_dangling_sends_each_source_once(spark):
+    e = spark.range(10_000).selectExpr("id % 3 AS src", "id AS dst")
+    out = Graph(spark.range(5).select("id"), e).dangling()
+    assert sorted(r.id for r in out.collect()) == [3, 4]
+    assert "Aggregate [src" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lines_of_orders_are_joined_in_bounded_tasks(spark, data, monkeypatch):
+    from skewloom import fixtures
+
+    want = sorted(map(tuple, fixtures.g_trade(spark, data).edges.collect()))
+    monkeypatch.setattr(fixtures, "TASK_ROWS", 500)
+    edges = fixtures.g_trade(spark, data).edges
+    parts = re.findall(r"RepartitionByExpression \[l_orderkey#\d+L\], (\d+)", edges._jdf.queryExecution().optimizedPlan().toString())
+    assert int(parts[0]) * 500 >= 6000 and sorted(map(tuple, edges.collect())) == want
+
+
 def test_degree_stats_ties(spark):
     g = Graph(spark.range(4).select("id"), spark.createDataFrame([(1, 0, 1, 0), (1, 2, 1, 1), (2, 0, 1, 2), (2, 1, 1, 3)], "src long, dst long, weight long, pos long"))
     s = metrics.degree_stats(g).first()
