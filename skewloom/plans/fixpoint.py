@@ -10,12 +10,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from skewloom.session import Scratch
 
 
+#: Part of the rows of the state from which a round of so many changed rows writes all of it.
+MANY = 0.25
+
+
 @dataclass
 class Result:
     state: DataFrame
@@ -27,33 +31,52 @@ class Result:
 def improve(scratch: Scratch, start: DataFrame, offers: Callable[[DataFrame, int], DataFrame], value: str, least: bool, max_rounds: int = 10_000, compact_every: int = 12) -> Result:
     """The best value of each id, least or greatest: ``offers(front, rows)`` gives rows ``id value`` from the rows that changed last.
 
-    Each round writes only the rows that got better. The state is the best of all that was written; its tables are
-    merged now and then.
+    A round in which many rows may get better writes the whole state, with a mark on those that did, and moves it once; others
+    write only the rows that got better. Then the state is the best of all that was written; its tables are merged now and then.
     """
     best = F.min if least else F.max
     front, n = scratch.counted(start.select("id", value), "state0")
-    log, sizes = [front], []
+    log, sizes, rows = [front], [], n
     for k in range(1, max_rounds + 1):
-        every = _union(log).groupBy(F.col("id").alias("k_id")).agg(best(value).alias("known"))
+        # One table of a whole state has each id once.
+        every = (log[0] if len(log) == 1 else _union(log).groupBy("id").agg(best(value).alias(value))).select(F.col("id").alias("k_id"), F.col(value).alias("known"))
         made = offers(front, n)
-        better = F.col(value) < F.col("known") if least else F.col(value) > F.col("known")
-        met = made.join(every, made["id"] == every["k_id"], "left").where(F.col("known").isNull() | better)
-        front, n = scratch.counted(met.select("id", value), f"changed{k}")
+        better = F.col("known").isNull() | (F.col(value) < F.col("known") if least else F.col(value) > F.col("known"))
+        if n >= MANY * rows:
+            both = made.join(every, made["id"] == every["k_id"], "full")
+            pick = F.least(value, "known") if least else F.greatest(value, "known")
+            state, rows, n = _marked(scratch, both.select(F.coalesce("id", "k_id").alias("id"), pick.alias(value), F.coalesce(F.col(value).isNotNull() & better, F.lit(False)).alias("changed")), f"state{k}")
+            scratch.drop(*log)
+            front, log = state.where("changed").select("id", value), [state]
+            sizes.append(n)
+            if not n:
+                break
+            continue
+        front, n = scratch.counted(made.join(every, made["id"] == every["k_id"], "left").where(better).select("id", value), f"changed{k}")
         sizes.append(n)
         if not n:
             break
         log.append(front)
+        rows += n
         if len(log) >= compact_every:
-            merged = scratch.table(_union(log).groupBy("id").agg(best(value).alias(value)), f"merged{k}")
+            merged, rows = scratch.counted(_union(log).groupBy("id").agg(best(value).alias(value)), f"merged{k}")
             scratch.drop(*[t for t in log if t is not front])
             log = [merged]
     return Result(_union(log).groupBy("id").agg(best(value).alias(value)), len(sizes), sizes)
 
 
+def _marked(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int, int]:
+    """The written table, its rows and how many of them are marked as changed."""
+    seen = Observation()
+    out = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.col("changed").cast("long")).alias("changed")), name)
+    return out, seen.get["n"], seen.get["changed"] or 0
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
+    names = [c for c in parts[0].columns if c != "changed"]
+    out = parts[0].select(*names)
     for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.unionByName(p.select(*names))
     return out
 
 

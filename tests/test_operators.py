@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skewloom.operators import linear, metrics, pairs, tables, traversal, trees
 from skewloom.operators.graph import Graph
+from skewloom.plans import fixpoint, skew
 from skewloom.plans.ordering import numbered
 from skewloom.plans.skew import STRATEGIES
 from skewloom.session import Scratch
@@ -150,6 +151,42 @@ def test_all_pairs_of_a_graph_too_large_to_send(graph, edges, monkeypatch):
     assert metrics.characteristic_path_length(graph).first().path_length is None
 
 
+@pytest.mark.parametrize("strategy", ("auto", "salt", "degree_split"))
+def test_edges_of_a_loop_stay_where_they_are(spark, graph, monkeypatch, strategy):
+    edges = graph.edges.select("src", "dst")
+    want = sorted(map(tuple, edges.collect()))
+    monkeypatch.setattr(skew, "BUCKET_FROM", 1)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scratch = Scratch(spark, "stay")
+        kept = skew.Gather(scratch, edges, "src", strategy)
+        if strategy == "salt":
+            kept = skew.Gather(scratch, edges, "src", strategy, 100)  # no hot key
+        met = kept.join(graph.vertices.select(F.col("id").alias("v")), "v", 17)
+        assert sorted((r.src, r.dst) for r in met.collect()) == want
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and "Exchange hashpartitioning(src" not in plan
+        tables = {t.name for t in spark.catalog.listTables() if t.name.startswith("by_key")}
+        scratch.finish(spark.range(1))
+        assert tables and not tables & {t.name for t in spark.catalog.listTables()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    monkeypatch.setattr(skew, "BUCKET_KEY_ROWS", 2)  # the hub has more
+    assert skew._by_key(scratch, edges, ["src"]) is None
+
+
+@pytest.mark.parametrize("many", (0.0, 2.0))
+def test_whole_and_partial_states(spark, graph, edges, monkeypatch, many):
+    monkeypatch.setattr(fixpoint, "MANY", many)
+    written = []
+    monkeypatch.setattr(fixpoint, "_marked", lambda *a, f=fixpoint._marked: written.append(1) or f(*a))
+    assert {r.id: r.cost for r in traversal.sssp(graph, 0).collect()} == dijkstra(edges, 0)
+    assert bool(written) == (many == 0.0)
+    path = Graph.from_edges(spark.range(15).selectExpr("id AS src", "id + 1 AS dst")).symmetrize()
+    assert {r.id: r.color for r in traversal.coloring(path).collect()} == {k: k + 1 for k in range(16)}
+
+
 @pytest.mark.parametrize("strategy", STRATEGIES)
 def test_pagerank_total_and_fixed_point(graph, edges, strategy):
     rank = {r.id: r.rank for r in linear.pagerank(graph, strategy=strategy, tolerance=1e-10).collect()}
