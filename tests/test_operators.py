@@ -176,6 +176,24 @@ def test_edges_of_a_loop_stay_where_they_are(spark, graph, monkeypatch, strategy
     assert skew._by_key(scratch, edges, ["src"]) is None
 
 
+def test_pagerank_rounds_leave_out_edges_to_dead_ends(spark, monkeypatch):
+    joined = []
+    monkeypatch.setattr(linear, "Gather", lambda scratch, many, *a: joined.append(sorted((r.src, r.dst) for r in many.collect())) or skew.Gather(scratch, many, *a))
+    e = [(0, 1), (1, 0), (0, 2), (0, 2), (1, 3), (0, 9)]  # 9 is no vertex
+    g = Graph(spark.range(5).select("id"), spark.createDataFrame(e, "src long, dst long"))
+    for rounds in (0, 1, 2, 7):
+        rank = [200.0] * 5
+        for _ in range(rounds):
+            lost, flow = rank[2] + rank[3] + rank[4], [0.0] * 5
+            for a, b in e:
+                if b < 5:
+                    flow[b] += rank[a] / (4 if a == 0 else 2)
+            rank = [0.5 * f + 100 + 0.1 * lost for f in flow]
+        assert {r.id: r.rank for r in linear.pagerank(g, tolerance=0.0, max_rounds=rounds).collect()} == pytest.approx(dict(enumerate(rank)))
+    assert {r.id for r in linear.pagerank(g, tolerance=1e-9).collect()} == set(range(5))
+    assert joined == [[(0, 1), (1, 0)]] * 5
+
+
 @pytest.mark.parametrize("many", (0.0, 2.0))
 def test_whole_and_partial_states(spark, graph, edges, monkeypatch, many):
     monkeypatch.setattr(fixpoint, "MANY", many)
